@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagelake.llm import packing, pieces, token_files
+from pagelake.llm import packing, pieces, simhash, substrings, token_files
 from pagelake.session import shared_path, table
 
 
@@ -24,6 +25,15 @@ def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op2_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_debruijn_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_simple8b_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared_path(spark, "tokens")
     token_files.write(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), out)
@@ -36,6 +46,8 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_harmonic_packing": op1_harmonic_packing,
+    "op2_simhash_variants": op2_simhash_variants,
+    "op3_debruijn_substrings": op3_debruijn_substrings,
     "op5_simple8b_files": op5_simple8b_files,
     "op8_sentencepiece": op8_sentencepiece,
 }
