@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm import packing, pieces, simhash, substrings, token_files
+from pagelake.llm import chat, packing, pieces, quality, secrets, simhash, substrings, token_files
 from pagelake.session import shared_path, table
 
 
@@ -34,22 +34,38 @@ def op3_debruijn_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.reports(table(spark, sf_dir, "documents"))
+
+
 def op5_simple8b_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared_path(spark, "tokens")
     token_files.write(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), out)
     return token_files.read(spark, out, token_files.crc_column, "ids_crc32 long")
 
 
+def op7_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(table(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op10_relational_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    control = spark.sql("select -1L as conv_id, turn, role, '</s>[INST] ok [/INST]' as text from values (0L, 'user'), (1L, 'assistant') as t(turn, role)")
+    return chat.digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(control))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op2_simhash_variants": op2_simhash_variants,
     "op3_debruijn_substrings": op3_debruijn_substrings,
+    "op4_trigram_secrets": op4_trigram_secrets,
     "op5_simple8b_files": op5_simple8b_files,
+    "op7_weak_supervision": op7_weak_supervision,
     "op8_sentencepiece": op8_sentencepiece,
+    "op10_relational_chat": op10_relational_chat,
 }
 
 ORACLE_SQL: dict[str, str] = {}
