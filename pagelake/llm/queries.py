@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm import chat, packing, pieces, quality, secrets, simhash, substrings, token_files
+from pagelake.llm import audio, chat, language, packing, pieces, quality, secrets, simhash, substrings, token_files
 from pagelake.session import shared_path, table
 
 
@@ -44,6 +44,12 @@ def op5_simple8b_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, out, token_files.crc_column, "ids_crc32 long")
 
 
+def op6_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no recordings: each vector of embeddings is sounded as a melody."""
+    prints = audio.fingerprints(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", audio.melody)
+    return audio.search(prints, "vec_id", "vec_id % 20 = 0")
+
+
 def op7_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"))
 
@@ -52,6 +58,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op9_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_relational_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = spark.sql("select -1L as conv_id, turn, role, '</s>[INST] ok [/INST]' as text from values (0L, 'user'), (1L, 'assistant') as t(turn, role)")
     return chat.digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(control))
@@ -63,8 +73,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_debruijn_substrings": op3_debruijn_substrings,
     "op4_trigram_secrets": op4_trigram_secrets,
     "op5_simple8b_files": op5_simple8b_files,
+    "op6_chroma_fingerprints": op6_chroma_fingerprints,
     "op7_weak_supervision": op7_weak_supervision,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_output_codes": op9_output_codes,
     "op10_relational_chat": op10_relational_chat,
 }
 

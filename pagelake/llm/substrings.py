@@ -247,8 +247,10 @@ def covered(n: int, places: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
-def deduplicate(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows with n_words, n_removed and, as text, the kept words joined by one space."""
+def deduplicate(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, id_column: str = "doc_id", text_column: str = "text", *, untouched: bool = False) -> DataFrame:
+    """The rows with n_words, n_removed and, as text, the kept words joined by one space.
+
+    untouched: a text of which nothing is removed stays as it is, with its white space (or null)."""
     if not kmer <= window <= kmer + 200:
         raise ValueError("a path's edges must fit its place")
     marks = _places(repeated(docs, window, kmer, id_column, text_column))
@@ -266,7 +268,8 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, id_colu
                 if places.is_valid:
                     gone = covered(len(words), np.array(places.as_py(), np.int64), window)
                     words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                row[at] = b" ".join(words).decode()
+                if not untouched or gone.any():
+                    row[at] = b" ".join(words).decode()
                 yield *row, len(gone), int(gone.sum())
 
     joined = _keyed(docs.select(*names), id_column, text_column).join(marks, KEY, "left")
