@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,9 +25,16 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+#: Modules whose import registers queries.
+MODULES = ("pagelake.plans.lake",)
+
+
 def queries() -> dict[str, Query]:
+    for name in MODULES:
+        importlib.import_module(name)
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_oracles)
