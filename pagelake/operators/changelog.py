@@ -137,4 +137,4 @@ def tombstones(log: DataFrame, keys: Sequence[str], lsn: int | Column) -> DataFr
     """A tombstone at a position for all live rows: what a rewrite of the table writes first."""
     live = current_state(log, keys, meta=True)
     seq = F.row_number().over(Window.partitionBy(LSN).orderBy(*keys))
-    return live.withColumns({LSN: F.lit(lsn) if isinstance(lsn, int) else lsn, DELETED: F.lit(True)}).withColumn(SEQ, seq.cast("long"))
+    return live.withColumns({LSN: (F.lit(lsn) if isinstance(lsn, int) else lsn).cast("long"), DELETED: F.lit(True)}).withColumn(SEQ, seq.cast("long"))
