@@ -67,6 +67,7 @@ def measure(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
         F.coalesce(F.expr(repeat), F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size("__l").cast("long").alias("n_lines"),
         F.expr("size(filter(__l, l -> l rlike '[.!?\"”»:;…)][\\\\x20\\\\x09-\\\\x0D]*$'))").cast("long").alias("n_closed_lines"),
+        F.expr("regexp_count(__t, '[#*$%&|<>]+')").cast("long").alias("n_marks"),
         F.expr("regexp_count(__t, '[0-9]')").cast("long").alias("n_digits"),
         F.expr(f"size(filter(slice(__w, 1, size(__w)), w -> lower(w) in ({common})))").cast("long").alias("n_common"),
     ).alias("__m"))
@@ -89,9 +90,12 @@ def rules() -> dict[str, Column]:
         return F.when(b > 0, a / b)
 
     symbols, lines, repeats = share(m.n_symbols, m.n_words), share(m.n_dup_lines, m.n_lines), share(m.n_repeat_words, m.n_words)
+    marks, density = share(m.n_marks, m.n_words), share(m.n_symbols, m.word_chars)
     length, closed, digits, common = share(m.word_chars, m.n_words), share(m.n_closed_lines, m.n_lines), share(m.n_digits, m.word_chars), share(m.n_common, m.n_words)
     return {
         "symbols": _vote(symbols, symbols < 0.03, symbols > 0.15),
+        "marks": _vote(marks, marks < 0.03, marks > 0.12),
+        "density": _vote(density, density < 0.006, density > 0.03),
         "lines": _vote(lines, lines < 0.05, lines > 0.3),
         "repeats": _vote(repeats, repeats < 0.1, repeats > 0.3),
         "length": _vote(length, length.between(3.5, 9), ~length.between(2.5, 14)),
