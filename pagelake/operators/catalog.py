@@ -37,6 +37,35 @@ def primary_keys(pg_index: DataFrame, pg_attribute: DataFrame) -> DataFrame:
     return key.join(attributes(pg_attribute), ["attrelid", "attnum"]).select(F.col("attrelid").alias("oid"), "position", "attname")
 
 
+def descriptors(found: DataFrame, pg_class: DataFrame, pg_attribute: DataFrame, pg_index: DataFrame) -> DataFrame:
+    """A row for each table: its files, columns in order (dropped ones keep their place), key columns, and
+    whether a column has a value that old tuples lack. A table whose attributes are incomplete is left out.
+
+    Columns of a table are few (1,600 at most), so they are collected to one array."""
+    column = F.struct("attnum", "attname", "atttypid", "attlen", "attalign", "attisdropped")
+    columns = attributes(pg_attribute).groupBy(F.col("attrelid").alias("oid")).agg(
+        F.sort_array(F.collect_list(column)).alias("columns"), F.max(F.col("atthasmissing") & ~F.col("attisdropped")).alias("has_fast_defaults"), F.count("*").alias("n")
+    )
+    keys = primary_keys(pg_index, pg_attribute).groupBy("oid").agg(F.transform(F.sort_array(F.collect_list(F.struct("position", "attname"))), lambda k: k["attname"]).alias("pk"))
+    whole = with_toast(found, pg_class).join(columns, "oid").where(F.col("n") == F.col("relnatts")).join(keys, "oid", "left")
+    return whole.select("oid", "relname", "relfilenode", "toast_filenode", "columns", F.coalesce("pk", F.array().cast("array<string>")).alias("pk"), "has_fast_defaults")
+
+
+def heap_columns(described: list) -> list:
+    """Columns for the codecs of a descriptor's array; an unknown type is refused with the known ones."""
+    from pagelake.codec import heap
+
+    out = []
+    for c in described:
+        if c["attisdropped"]:
+            out.append(heap.Column(c["attname"], "", True, c["attlen"], {"c": 1, "s": 2, "i": 4, "d": 8}[c["attalign"]]))
+        elif c["atttypid"] not in heap.BY_OID:
+            raise TypeError(f"column {c['attname']} has type {c['atttypid']}; known: {', '.join(sorted(heap.TYPES))}")
+        else:
+            out.append(heap.Column(c["attname"], heap.BY_OID[c["atttypid"]]))
+    return out
+
+
 def attachable(found: DataFrame, tracked: DataFrame, failed: DataFrame) -> DataFrame:
     """Tables neither tracked (by oid) nor failed before (by name)."""
     return found.join(tracked.select("oid"), "oid", "left_anti").join(failed.select("relname"), "relname", "left_anti")

@@ -6,12 +6,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.codec import heap, wal
+from pagelake.codec import files, heap, wal
 from pagelake.codec.heap import Column
 from pagelake.functions import register as R
-from pagelake.operators import changelog, pages, records, transactions, visibility
+from pagelake.operators import catalog, changelog, pages, records, transactions, visibility
 from pagelake.plans.registry import register
 from pagelake.session import table
+from pagelake.sources import files as sources
 
 CUSTOMER = [Column("c_custkey", "int8"), Column("c_name", "text"), Column("gone", "", True, 4, 4), Column("c_nationkey", "int4"), Column("c_acctbal", "float8"), Column("c_mktsegment", "text")]
 
@@ -82,6 +83,30 @@ def hot_chain_emit(spark: SparkSession, sf: str) -> DataFrame:
     return pages.decode(pages.visible(chain_pages(spark, sf), status), PAIR).select("k", "v")
 
 
+def class_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers as pg_class tuples; each fourth is deleted, by a transaction that each second time aborted."""
+    rows = table(spark, sf, "supplier").select("s_suppkey", "s_name", F.expr("s_suppkey div 30").alias("block"))
+
+    def make(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        slots = []
+        for r in group.sort_values("s_suppkey").to_dict("records"):
+            k = int(r["s_suppkey"])
+            attrs = files.class_bytes(16384 + k, r["s_name"], 2200, 20000 + k, 0, "r" if k % 5 else "i", 3)
+            slots.append(("tuple", heap.raw_tuple(100, 200 + k % 8 if k % 4 == 0 else 0, (int(key[0]), len(slots) + 1), 33, 0 if k % 4 == 0 else heap.XMAX_INVALID, b"", attrs)))
+        return pd.DataFrame({"rel": [1259], "block": [int(key[0])], "page": [heap.build_page(slots, int(key[0]), 1)]})
+
+    return rows.groupBy("block").applyInPandas(make, "rel long, block long, page binary")
+
+
+@register("catalog_from_pages", "select s_suppkey + 16384 as oid, s_name as relname, s_suppkey + 20000 as relfilenode from supplier where s_suppkey % 5 <> 0 and (s_suppkey % 4 <> 0 or s_suppkey % 8 = 4)")
+def catalog_from_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of pg_class to visible tuples to tables, without SQL of the source."""
+    status = spark.sql("select * from values (100L, 'committed'), (200L, 'committed'), (204L, 'aborted') as t(xid, status)")
+    pg_class = sources.catalog_rows(pages.visible(class_pages(spark, sf), status), "pg_class")
+    space = spark.sql("select 2200L as oid, 'public' as nspname")
+    return catalog.tables(pg_class, space).select("oid", "relname", "relfilenode")
+
+
 CHUNKED = [Column("doc_id", "int8"), Column("text", "text")]
 
 

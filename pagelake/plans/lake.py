@@ -394,6 +394,24 @@ def catalog_pk(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.primary_keys(c["pg_index"], c["pg_attribute"])
 
 
+@register(
+    "catalog_descriptors",
+    f"""with {SQL_CLASS} select a.oid, a.relname, a.relfilenode, b.relfilenode as toast_filenode, 'c1:23,c2:25,c3:23' as columns,
+    case when a.s_suppkey % 7 = 0 then '' when a.s_suppkey % 2 = 1 then 'c3,c1' else 'c3' end as pk, a.s_suppkey % 2 = 1 as has_fast_defaults
+    from pg_class a left join pg_class b on a.toast = b.oid where a.relkind = 'r' and a.relnamespace = 2200 and a.relnatts = 3""",
+)
+def catalog_descriptors(spark: SparkSession, sf: str) -> DataFrame:
+    c = catalogs(spark, sf)
+    number = F.col("attnum")
+    full = c["pg_attribute"].withColumns({
+        "atttypid": F.when(number == 2, 25).otherwise(23), "attlen": F.when(number == 2, -1).otherwise(4), "attalign": F.lit("i"),
+        "attisdropped": F.lit(False), "atthasmissing": (F.col("attrelid") % 2 == 1) & (number == 1),
+    })
+    d = catalog.descriptors(catalog.tables(c["pg_class"], c["pg_namespace"]), c["pg_class"], full, c["pg_index"])
+    shown = F.array_join(F.transform("columns", lambda x: F.concat_ws(":", x["attname"], x["atttypid"].cast("string"))), ",")
+    return d.select("oid", "relname", "relfilenode", "toast_filenode", shown.alias("columns"), F.array_join("pk", ",").alias("pk"), "has_fast_defaults")
+
+
 @register("catalog_incomplete", f"with {SQL_CLASS} select oid, relname from pg_class where relnatts <> 3")
 def catalog_incomplete(spark: SparkSession, sf: str) -> DataFrame:
     c = catalogs(spark, sf)

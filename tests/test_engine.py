@@ -8,8 +8,8 @@ import urllib.error
 import urllib.request
 
 import duckdb
-import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -19,12 +19,13 @@ from pyspark.sql.types import StructType
 import __spark_entry__
 from pagelake.codec import bits, files, heap, values, wal
 from pagelake.codec.heap import Column
-from pagelake.operators import changelog, pages, records, timetravel, transactions, visibility
+from pagelake.functions import register as functions
+from pagelake.operators import catalog, changelog, pages, records, timetravel, transactions, visibility
 from pagelake.plans import registry
 from pagelake.sources import files as sources
 from pagelake.sources import replication
 from pagelake.sources.commitlog import Conflict, LakeTable
-from pagelake.streaming.events import Config, Engine, Tracked
+from pagelake.streaming.events import Config, Engine, Event, Tracked
 from pagelake.streaming.tail import TailStore, serve
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -163,7 +164,7 @@ def test_long_and_compressed_values():
         assert heap.decode_attrs(cols, 2, b"", struct.pack("<i", 1) + inline) == [1, text]
         stored = struct.pack("<I", len(raw) | method << 30) + body
         pointer = heap.make_pointer(len(raw) + 4, len(stored), 9, 8, method)
-        assert heap.decode_attrs(cols, 2, b"", struct.pack("<i", 1) + pointer, {9: stored}.get and (lambda p, s=stored: s)) == [1, text]
+        assert heap.decode_attrs(cols, 2, b"", struct.pack("<i", 1) + pointer, lambda p, s=stored: s) == [1, text]
     pointer = struct.pack("<i", 1) + heap.make_pointer(904, 900, 9, 8)
     assert heap.decode_attrs(cols, 2, b"", pointer, lambda p: raw) == [1, text]
     assert heap.decode_attrs(cols, 2, b"", pointer, lambda p: None, old=[0, "old"]) == [1, "old"]
@@ -247,7 +248,6 @@ def test_page_images_restore():
 
 def test_updates_share_both_ends():
     old, new = (heap.encode_attrs(PAIR, [1, t])[1] for t in ("hello", "hexlo"))
-    data = struct.pack("<HH", 7, 2) + wal.log_tuple(PAIR, [1, "hexlo"])[:6] + new[7:-2]
     data = struct.pack("<HH", 7, 2) + struct.pack("<HHB", 2, 0, 24) + b"\0" + new[7:-2]
     assert wal.updated(data, wal.PREFIX | wal.SUFFIX, False, old)[3] == new
     with pytest.raises(values.FormatError):
@@ -311,14 +311,12 @@ def test_sources_read_files(spark, tmp_path):
     got = sources.read_layers(spark, str(tmp_path / "layer"))
     assert {(r.block, r.lsn, bytes(r.blob)) for r in got.where("image").collect()} == {(b, 77, v) for b, (_, v) in enumerate(entries)}
     assert got.where("not image and lsn = 80").count() == 300
-    (tmp_path / "clog/map").unlink(missing_ok=True)
     assert files.relation_map(struct.pack("<Ii4I", files.RELMAP_MAGIC, 2, 1259, 700, 1249, 701)) == {1259: 700, 1249: 701}
 
 
 def test_wal_source_streams_new_segments(spark, tmp_path):
     (tmp_path / "wal").mkdir()
     sources.register(spark)
-    seen = lambda: spark.sql("select count(*) from seen_records").first()[0]
     counts = []
     for k in (1, 2):
         raw, _ = wal.frame(sealed([50] * 10 * k), k * wal.SEGMENT)
@@ -328,7 +326,6 @@ def test_wal_source_streams_new_segments(spark, tmp_path):
         q.awaitTermination()
         counts.append(spark.read.parquet(str(tmp_path / "out")).count())
     assert counts == [10, 30]
-    assert seen is not None
 
 
 def test_catalog_rows_from_pages(spark):
@@ -519,7 +516,7 @@ def test_tail_keeps_what_the_lake_lacks():
         t.push("t", rows(3), lsn)
     assert t.read("t").num_rows == 9
     t.flushed("t", 2)
-    assert t.read("t").num_rows == 3 or t.read("t").num_rows == 6
+    assert t.read("t").num_rows == 3
     assert t.status()["tables"]["t"]["unflushed_rows"] == 3
     now[0] = 100
     assert t.read("t").num_rows == 3
@@ -544,7 +541,7 @@ def test_tail_over_http():
     t.advance(5)
     status, body, headers = code("/tail/t.parquet?min_lsn=5")
     assert status == 200 and headers["X-Applied-Lsn"] == "5"
-    assert pa.parquet.read_table(pa.BufferReader(body)).num_rows == 2 if hasattr(pa, "parquet") else body[:4] == b"PAR1"
+    assert pq.read_table(pa.BufferReader(body)).num_rows == 2
     assert code("/tail/t.parquet?min_lsn=9&timeout_ms=50")[0] == 408
     assert code("/other")[0] == 404 and code("/tail/t.parquet", "POST")[0] == 405
     assert code("/tail/t.parquet", "HEAD")[2]["Accept-Ranges"] == "none"
@@ -573,6 +570,23 @@ def test_engine_snapshots_remaps_and_detaches(spark, tmp_path):
     assert engine.tables == {}
 
 
+def test_engine_runs_events(spark, tmp_path):
+    engine = Engine(spark, lambda t: (50, log_rows(spark, (9, "s", 50, False))), Config(flush_rows=3, flush_seconds=1000))
+    t = Tracked(5, "t", 7, open_table(spark, tmp_path / "t"), ["k"])
+    engine.attach(t)
+    op = lambda xid, lsn, kind, k, v: Event("op", lsn, xid, 5, kind, {"k": k, "v": v})
+    engine.run([
+        op(1, 60, "insert", 1, "a"), op(2, 61, "insert", 2, "x"), op(11, 62, "insert", 3, "sub"), Event("abort", 63, 2), Event("commit", 64, 1, subxids=(11,)),
+        op(3, 65, "delete", 1, "a"), op(4, 66, "update", 3, "open"), Event("commit", 67, 3), Event("progress", 70),
+    ])
+    assert {tuple(r) for r in t.lake.current(["k"]).collect()} == {(9, "s"), (3, "sub")}
+    assert engine.tail.applied_lsn == 70 and t.lake.resume()["commit"] == 67
+    engine.run([op(4, 71, "insert", 4, "z"), Event("lost", 80), Event("commit", 90, 4)])
+    assert 4 not in {r.k for r in t.lake.current(["k"]).collect()} and t.lake.resume()["commit"] == 80
+    with pytest.raises(ValueError, match="unknown"):
+        engine.run([Event("other")])
+
+
 # --- queries -------------------------------------------------------------------------------------
 
 
@@ -598,5 +612,22 @@ def test_entry_has_columns(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-def test_values_are_numpy_free():
-    assert isinstance(bits.crc32c([b"a"])[0], np.uint32)
+def test_config_from_environment():
+    c = Config.from_env({"PAGELAKE_FLUSH_ROWS": "7", "PAGELAKE_VACUUM_MINUTES": "off", "PAGELAKE_SNAPSHOT": "0", "PAGELAKE_TAIL_SECONDS": "1.5"})
+    assert (c.flush_rows, c.vacuum_minutes, c.snapshot, c.tail_seconds, c.compact_rows) == (7, None, False, 1.5, 1_000_000)
+
+
+def test_descriptor_columns_of_known_types():
+    live = {"attname": "a", "atttypid": 23, "attlen": 4, "attalign": "i", "attisdropped": False}
+    assert catalog.heap_columns([live, live | {"attname": "x", "attisdropped": True, "attlen": 8, "attalign": "d"}]) == [Column("a", "int4"), Column("x", "", True, 8, 8)]
+    with pytest.raises(TypeError, match="type 600"):
+        catalog.heap_columns([live | {"atttypid": 600}])
+
+
+def test_sql_functions(spark):
+    functions.register(spark)
+    row = spark.sql("select pg_numeric_text(pg_numeric_bytes('1.50')) as n, pg_jsonb_text(pg_jsonb_bytes('{\"a\":[1,null]}')) as j, lsn_text(4294967312) as l").first()
+    assert tuple(row) == ("1.50", '{"a": [1, null]}', "1/10")
+    page = heap.build_page([("tuple", heap.make_tuple(PAIR, [1, "x"], 3))], 0, 1)
+    spark.createDataFrame([(bytearray(page),)], "page binary").createOrReplaceTempView("heap_pages")
+    assert [r.xmin for r in spark.sql("select t.xmin from heap_pages, lateral heap_page_tuples(page) t").collect()] == [3]
