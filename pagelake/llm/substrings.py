@@ -38,8 +38,10 @@ KMER = 20
 #: Paths that a task holds to combine.
 HOLD = 400_000
 
-#: Column that names a row by its id and text; a repeated row shares it, and its fate.
+#: Column that names a row by its id and text; a repeated row shares it, and its fate. A place holds 23
+#: bits more of the text's hash, by which rows of one key are told apart.
 KEY = "__row"
+_FIRST, _CHECK = (1 << 32) - 1, 40
 REPEATED, BRANCH, OTHER = 0, 1, 2
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -83,8 +85,14 @@ class Text:
     """A text's words, and hashes of any of its spans."""
 
     def __init__(self, text: str | None):
-        self.words = (text or "").encode().split()
+        raw = (text or "").encode()
+        self.words = raw.split()
         self.n = len(self.words)
+        self.check = xxhash.xxh32_intdigest(raw, 3) >> 9
+
+    def own(self, places: np.ndarray) -> np.ndarray:
+        """Places of this text, without those of another text of the same key."""
+        return places[places >> _CHECK == self.check]
 
     def hashes(self) -> np.ndarray:
         return np.fromiter(map(_WORDS.__getitem__, self.words), np.uint64, self.n)
@@ -133,10 +141,10 @@ class _Pool:
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.size = 0
 
-    def add(self, key: int, ids: np.ndarray, contents: np.ndarray, first: np.ndarray, count: np.ndarray) -> Iterator[tuple]:
+    def add(self, key: int, check: int, ids: np.ndarray, contents: np.ndarray, first: np.ndarray, count: np.ndarray) -> Iterator[tuple]:
         if not len(ids):
             return
-        self.parts.append((ids, contents, np.full(len(ids), key, np.int64), (first << 8) | count))
+        self.parts.append((ids, contents, np.full(len(ids), key, np.int64), check << _CHECK | first << 8 | count))
         self.size += len(ids)
         if self.size >= HOLD:
             yield from self.flush()
@@ -208,14 +216,15 @@ def _places(rows: DataFrame) -> DataFrame:
 
 
 def repeated(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(row, place): edges first << 8 | count of a row that occur elsewhere too."""
+    """(row, place): edges check << 40 | first << 8 | count of a row that occur elsewhere too."""
     texts = _keyed(docs, id_column, text_column).select(KEY, text_column)
 
     def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         pool = _Pool()
         for batch in batches:
             for key, text in zip(batch.column(0), batch.column(1), strict=True):
-                yield from pool.add(key.as_py(), *paths(Text(text.as_py()), window, kmer))
+                t = Text(text.as_py())
+                yield from pool.add(key.as_py(), t.check, *paths(t, window, kmer))
         yield from pool.flush()
 
     judged = staged(_judged(map_rows(texts, compact, _ROWS)), "paths")
@@ -225,12 +234,14 @@ def repeated(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, id_column:
         for batch in batches:
             for key, text, places in zip(*batch.columns, strict=True):
                 t = Text(text.as_py())
-                place = np.array(places.as_py(), np.int64)
-                first, count = place >> 8, place & 255
+                place = t.own(np.array(places.as_py(), np.int64))
+                if not len(place):
+                    continue
+                first, count = place >> 8 & _FIRST, place & 255
                 start = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
                 hashes = t.hashes()
                 ids, contents = (t.spans(hashes, base, start, start + window) for base in (_A, _B))
-                yield from pool.add(key.as_py(), ids, contents, start, np.ones(len(start), np.int64))
+                yield from pool.add(key.as_py(), t.check, ids, contents, start, np.ones(len(start), np.int64))
         yield from pool.flush()
 
     branches = _places(judged.where(F.col("kind") != REPEATED))
@@ -242,8 +253,9 @@ def repeated(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, id_column:
 def covered(n: int, places: np.ndarray, window: int) -> np.ndarray:
     """Words of n that the edges at these places cover."""
     step = np.zeros(n + 1, np.int64)
-    np.add.at(step, places >> 8, 1)
-    np.add.at(step, np.minimum((places >> 8) + (places & 255) - 1 + window, n), -1)
+    first = places >> 8 & _FIRST
+    np.add.at(step, first, 1)
+    np.add.at(step, np.minimum(first + (places & 255) - 1 + window, n), -1)
     return np.cumsum(step[:n]) > 0
 
 
@@ -263,10 +275,10 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, id_colu
         for batch in batches:
             for *row, places in zip(*batch.columns, strict=True):
                 row = [x.as_py() for x in row]
-                words = (row[at] or "").encode().split()
-                gone = np.zeros(len(words), bool)
+                t = Text(row[at])
+                words, gone = t.words, np.zeros(t.n, bool)
                 if places.is_valid:
-                    gone = covered(len(words), np.array(places.as_py(), np.int64), window)
+                    gone = covered(t.n, t.own(np.array(places.as_py(), np.int64)), window)
                     words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 if not untouched or gone.any():
                     row[at] = b" ".join(words).decode()
