@@ -9,6 +9,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders that shared_path() has named.
+_made: list[str] = []
+
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
@@ -34,7 +37,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/pagelake/{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_dir(spark)}/pagelake/{uuid.uuid4().hex}"
+    _made.append(folder)
+    return f"{folder}/{name}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this process has written to the shared folder. Results that read it must be written before."""
+    jvm = spark.sparkContext._jvm
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

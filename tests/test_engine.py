@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import os
 import random
 import struct
 import urllib.error
@@ -22,6 +23,7 @@ from pagelake.codec.heap import Column
 from pagelake.functions import register as functions
 from pagelake.operators import catalog, changelog, pages, records, timetravel, transactions, visibility
 from pagelake.plans import registry
+from pagelake.session import release, staged
 from pagelake.sources import files as sources
 from pagelake.sources import replication
 from pagelake.sources.commitlog import Conflict, LakeTable
@@ -612,6 +614,13 @@ def test_entry_has_columns(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+def test_staged_tables_are_released(spark):
+    path = staged(spark.range(3), "numbers").inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path)
+    release(spark)
+    assert not os.path.exists(path)
+
+
 def test_config_from_environment():
     c = Config.from_env({"PAGELAKE_FLUSH_ROWS": "7", "PAGELAKE_VACUUM_MINUTES": "off", "PAGELAKE_SNAPSHOT": "0", "PAGELAKE_TAIL_SECONDS": "1.5"})
     assert (c.flush_rows, c.vacuum_minutes, c.snapshot, c.tail_seconds, c.compact_rows) == (7, None, False, 1.5, 1_000_000)
