@@ -256,6 +256,37 @@ def test_updates_share_both_ends():
         wal.updated(data, wal.PREFIX | wal.SUFFIX, False, None)
 
 
+@pytest.mark.parametrize("variant", [False, True])
+def test_multi_inserts_and_images_become_operations(spark, variant):
+    def sub(row):
+        bitmap, attrs = heap.encode_attrs(PAIR, row)
+        start = heap.align(heap.TUPLE_HEADER + len(bitmap), 8)
+        body = bitmap.ljust(start - heap.TUPLE_HEADER, b"\0") + attrs
+        return struct.pack("<HHHB", len(body), 2, heap.HAS_NULL if bitmap else 0, start) + body
+
+    data = b""
+    for row in ([1, "a"], [2, None], [3, "ccc"]):
+        data = data.ljust(heap.align(len(data), 2), b"\0") + sub(row)
+    rmgr = wal.VARIANT if variant else wal.HEAP2
+    main = struct.pack("<BBH", 0, 0, 3) + (bytes(4) if variant else b"") + struct.pack("<3H", 4, 6, 9)
+    page = heap.build_page([("unused",), ("tuple", heap.make_tuple(PAIR, [7, "image"], 5, 0, (8, 2)))], 8, 1)
+    update = struct.pack("<IHBB", 5, 1, 0, 0) + (bytes(4) if variant else b"") + struct.pack("<IH", 0, 2)
+    recs = [
+        wal.build(1, rmgr, 0x50, main, [(REL, 8, data, None)]), wal.build(1, rmgr, 0x50 | wal.INIT_PAGE, main[:4], [(REL, 9, data, None)]),
+        wal.build(1, wal.VARIANT if variant else wal.HEAP, 0x20, update, [(REL, 8, b"", (page, 0, 0, 0))]), wal.log_delete(1, REL, 8, 2, variant), wal.log_insert(1, (1, 2, 99), 0, 1, wal.log_tuple(PAIR, [0, "other"], variant), variant),
+    ]
+    df = spark.createDataFrame([(i, bytearray(r)) for i, r in enumerate(wal.seal(recs))], "lsn long, record binary")
+    ops = records.operations(records.parsed(df), spark.sql("select 16384L as rel"))
+    got = {(r.lsn, r.pos): (r.op, r.ctid, r.old_ctid) for r in ops.collect()}
+    at = lambda b, o: b << 16 | o
+    assert got == {
+        (0, 0): ("insert", at(8, 4), None), (0, 1): ("insert", at(8, 6), None), (0, 2): ("insert", at(8, 9), None), (1, 0): ("insert", at(9, 1), None), (1, 1): ("insert", at(9, 2), None), (1, 2): ("insert", at(9, 3), None),
+        (2, 0): ("update", at(8, 2), at(8, 1)), (3, 0): ("delete", None, at(8, 2)),
+    }
+    rows = pages.decode(ops.where("op <> 'delete'"), PAIR).collect()
+    assert {(r.lsn, r.pos): (r.id, r.t) for r in rows} == {(0, 0): (1, "a"), (0, 1): (2, None), (0, 2): (3, "ccc"), (1, 0): (1, "a"), (1, 1): (2, None), (1, 2): (3, "ccc"), (2, 0): (7, "image")}
+
+
 def test_outcomes_and_created_relations():
     r = wal.parse(wal.seal([wal.log_outcome(9, False, [10, 11])])[0])
     assert (wal.outcome(r), wal.subxacts(r.info, r.main)) == (False, [10, 11])
