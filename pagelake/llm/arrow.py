@@ -44,5 +44,6 @@ def map_rows(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterable[
                 rows, size = [], 0
         if rows:
             yield batches(rows)
+        pa.default_memory_pool().release_unused()  # a worker waits beside others for its next task
 
     return df.mapInArrow(run, kind)

@@ -26,7 +26,7 @@ import pandas as pd
 
 LONG = 256
 #: Characters of a chunk; one longer text is a chunk of its own.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 #: Words kept between chunks; beyond this the cache starts anew.
 CACHE = 700_000
 
@@ -281,6 +281,47 @@ def split_words(flat: Flat, cps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[keep], end[keep]
 
 
+class Known:
+    """Word hashes seen, numbered in order: open addressing in two arrays, probed for whole arrays.
+
+    Python's own dictionary would take five times the memory for each worker."""
+
+    def __init__(self, capacity: int):
+        self.bits = (capacity * 3 // 2).bit_length()
+        self.mask = (1 << self.bits) - 1
+        self.keys = np.zeros(1 << self.bits, np.uint64)
+        self.number = np.full(1 << self.bits, -1, np.int32)
+        self.size = 0
+
+    def _home(self, hashes: np.ndarray) -> np.ndarray:
+        return ((hashes * _R) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Number of each hash, or -1."""
+        out = np.full(len(hashes), -1, np.int32)
+        todo, at = np.arange(len(hashes)), self._home(hashes)
+        while len(todo):
+            got = self.number[at]
+            hit = (self.keys[at] == hashes[todo]) & (got >= 0)
+            out[todo[hit]] = got[hit]
+            go = ~hit & (got >= 0)
+            todo, at = todo[go], (at[go] + 1) & self.mask
+        return out
+
+    def add(self, hashes: np.ndarray) -> None:
+        """Number distinct hashes that aren't there yet."""
+        number = np.arange(self.size, self.size + len(hashes), dtype=np.int32)
+        self.size += len(hashes)
+        todo, at = np.arange(len(hashes)), self._home(hashes)
+        while len(todo):
+            free = np.flatnonzero(self.number[at] < 0)
+            put = free[np.unique(at[free], return_index=True)[1]]
+            self.keys[at[put]], self.number[at[put]] = hashes[todo[put]], number[todo[put]]
+            rest = np.ones(len(todo), bool)
+            rest[put] = False
+            todo, at = todo[rest], (at[rest] + 1) & self.mask
+
+
 class Encoder:
     """Turns lists of texts into flat ids; subclasses split texts and give words' symbols."""
 
@@ -289,8 +330,8 @@ class Encoder:
     def __init__(self) -> None:
         self._forget()
 
-    def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+    def _forget(self, words: int = 0) -> None:
+        self.known = Known(max(CACHE, words))
         self.ids = np.zeros(1 << 16, np.uint32)
         self.used = 0
         self.at = np.zeros(1 << 12, np.int64)
@@ -330,18 +371,18 @@ class Encoder:
             sym, lens = merge_rounds(self.pairs, sym, lens)
         return self._finish(sym, lens, words)
 
-    def _learn(self, words: list[str], hashes: list[int]) -> None:
+    def _learn(self, words: list[str], hashes: np.ndarray) -> None:
         sym, lens = self._merge(words)
         while self.used + len(sym) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        k = len(self.known)
+        k = self.known.size
         while k + len(words) > len(self.at):
             self.at, self.len = (np.concatenate([a, np.zeros_like(a)]) for a in (self.at, self.len))
         self.ids[self.used : self.used + len(sym)] = sym
         self.at[k : k + len(words)] = self.used + np.cumsum(lens) - lens
         self.len[k : k + len(words)] = lens
         self.used += len(sym)
-        self.known.update(zip(hashes, range(k, k + len(words)), strict=True))
+        self.known.add(hashes)
 
     def _chunk(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         flat = Flat(texts)
@@ -351,15 +392,15 @@ class Encoder:
             return np.zeros(0, np.uint32), counts
         codes, unique = pd.factorize(hashes)
         first = np.flatnonzero(np.diff(np.maximum.accumulate(codes), prepend=-1))
-        if len(self.known) + len(unique) > CACHE:
-            self._forget()
-        keys = unique.tolist()
-        new = [i for i, h in enumerate(keys) if h not in self.known]
-        if new:
-            joined = flat.joined
-            at = first[new]
-            self._learn([joined[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)], [keys[i] for i in new])
-        slot = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[codes]
+        if self.known.size + len(unique) > CACHE:
+            self._forget(len(unique))
+        number = self.known.find(unique)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            joined, at = flat.joined, first[new]
+            number[new] = np.arange(self.known.size, self.known.size + len(new))
+            self._learn([joined[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)], unique[new])
+        slot = number[codes]
         lens = self.len[slot]
         ends = np.cumsum(lens)
         ids = self.ids[np.repeat(self.at[slot] - (ends - lens), lens) + np.arange(ends[-1])]

@@ -51,7 +51,7 @@ class _Words(dict):
     """Word to 64-bit hash; starts anew when it is large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word, 7)
         return h
