@@ -47,6 +47,9 @@ def disjunction(parts: list[Query]) -> Query:
     flat = list(dict.fromkeys(parts))
     if TRUE in flat:
         return TRUE
+    # what needs all that another part needs, and more, adds nothing
+    needs = [set(p.parts) if p.kind == "all" else {p} for p in flat]
+    flat = [p for p, n in zip(flat, needs, strict=True) if not any(m < n for m in needs)]
     return flat[0] if len(flat) == 1 else Query("any", tuple(flat))
 
 
