@@ -244,17 +244,33 @@ def preimage_chains(spark: SparkSession, sf: str) -> DataFrame:
 # --- time travel ---------------------------------------------------------------------------------
 
 
-def fragments(spark: SparkSession, sf: str) -> DataFrame:
+def all_fragments(spark: SparkSession, sf: str) -> DataFrame:
     """Order lines as fragments: relation by line number, ten blocks and more from the part, at the order's position."""
     start = F.col("l_partkey") % 500
-    return table(spark, sf, "lineitem").select(F.col("l_linenumber").cast("long").alias("rel"), start.alias("start"), (start + 10 + F.col("l_suppkey") % 5).alias("end"), (F.col("l_orderkey") * 10).alias("lsn")).where("lsn % 70 = 0")
+    return table(spark, sf, "lineitem").select(F.col("l_linenumber").cast("long").alias("rel"), start.alias("start"), (start + 10 + F.col("l_suppkey") % 5).alias("end"), (F.col("l_orderkey") * 10).alias("lsn"))
 
 
-def requests(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").where("event_id % 5 = 0")
+def fragments(spark: SparkSession, sf: str) -> DataFrame:
+    """Each seventh order's; the queries named _whole take all."""
+    return all_fragments(spark, sf).where("lsn % 70 = 0")
+
+
+def all_requests(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
     return e.select(F.col("event_id").alias("request"), (F.col("user_id") % 8).alias("rel"), (F.col("event_id") % 520).alias("block"), (F.col("event_id") * 7 % 15_000 * 10).alias("read_lsn"))
 
 
+def requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Each fifth event's; the queries named _whole take all."""
+    return all_requests(spark, sf).where("request % 5 = 0")
+
+
+def all_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as ranges of up to five blocks."""
+    start = F.col("o_custkey") % 500
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("range"), (F.col("o_orderkey") % 8).alias("rel"), start.alias("start"), (start + F.col("o_orderkey") % 6).alias("end"))
+
+
 SQL_TRAVEL = """fragments as (select l_linenumber::bigint as rel, l_partkey % 500 as s, l_partkey % 500 + 10 + l_suppkey % 5 as e, l_orderkey * 10 as lsn from lineitem where (l_orderkey * 10) % 70 = 0),
 requests as (select event_id as request, user_id % 8 as rel, event_id % 520 as block, event_id * 7 % 15000 * 10 as read_lsn from events where event_id % 5 = 0)"""
 
@@ -291,9 +307,43 @@ def branch_resolve(spark: SparkSession, sf: str) -> DataFrame:
     select range, rel, s as start, e as "end", range not in (select range from bad) as redundant from ranges""",
 )
 def gc_redundant(spark: SparkSession, sf: str) -> DataFrame:
-    start = F.col("o_custkey") % 500
-    ranges = table(spark, sf, "orders").where("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("range"), (F.col("o_orderkey") % 8).alias("rel"), start.alias("start"), (start + F.col("o_orderkey") % 6).alias("end"))
-    return timetravel.image_redundant(ranges, fragments(spark, sf), 50_000, 140_000, bucket=64)
+    return timetravel.image_redundant(all_ranges(spark, sf).where("range % 20 = 0"), fragments(spark, sf), 50_000, 140_000, bucket=64)
+
+
+# The three above are bound to their SQL, which takes a part of the tables; these take whole ones.
+
+SQL_WHOLE = """fragments as (select l_linenumber::bigint as rel, l_partkey % 500 as s, l_partkey % 500 + 10 + l_suppkey % 5 as e, l_orderkey * 10 as lsn from lineitem),
+requests as (select event_id as request, user_id % 8 as rel, event_id % 520 as block, event_id * 7 % 15000 * 10 as read_lsn from events)"""
+
+
+@register("timetravel_resolve_whole", f"with {SQL_WHOLE} select request, rel, block, read_lsn, base, outcome from {_sql_resolve('requests', 'fragments', 50_000)}")
+def timetravel_resolve_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return timetravel.resolve(all_requests(spark, sf), all_fragments(spark, sf), 50_000, bucket=64)
+
+
+@register(
+    "branch_resolve_whole",
+    f"""with {SQL_WHOLE}, own as (select * from fragments where lsn > 60000 and s % 3 = 0), parent as (select * from fragments where lsn <= 90000),
+    frozen as (select request, rel, block, least(read_lsn, 60000) as read_lsn from requests),
+    mine as {_sql_resolve('requests', 'own', 60_000)}, theirs as {_sql_resolve('frozen', 'parent', 20_000)}
+    select m.request, m.rel, m.block, m.read_lsn, case when m.covered then 'own' else 'parent' end as "from", case when m.covered then m.base else t.base end as base,
+    case when m.covered then m.outcome else t.outcome end as outcome from mine m join theirs t using (request)""",
+)
+def branch_resolve_whole(spark: SparkSession, sf: str) -> DataFrame:
+    f = all_fragments(spark, sf)
+    return timetravel.branch_resolve(all_requests(spark, sf), f.where("lsn <= 90000"), 20_000, f.where("lsn > 60000 and start % 3 = 0"), 60_000, 60_000, bucket=64)
+
+
+@register(
+    "gc_redundant_whole",
+    f"""with {SQL_WHOLE}, ranges as (select o_orderkey as range, o_orderkey % 8 as rel, o_custkey % 500 as s, o_custkey % 500 + o_orderkey % 6 as e from orders),
+    blocks as (select range, rel, unnest(generate_series(s, e - 1)) as block from ranges where e > s),
+    good as (select distinct rel, unnest(generate_series(s, e - 1)) as block from fragments where lsn between 50000 and 140000),
+    bad as (select distinct range from blocks anti join good using (rel, block))
+    select range, rel, s as start, e as "end", range not in (select range from bad) as redundant from ranges""",
+)
+def gc_redundant_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return timetravel.image_redundant(all_ranges(spark, sf), all_fragments(spark, sf), 50_000, 140_000, bucket=64)
 
 
 @register("gc_horizon", "select least(500, min(c_custkey * 3 + 200)) as horizon from customer")
