@@ -79,7 +79,8 @@ def chain_pages(spark: SparkSession, sf: str) -> DataFrame:
 )
 def hot_chain_emit(spark: SparkSession, sf: str) -> DataFrame:
     """Each fifth transaction aborted; the visible version of each chain."""
-    status = spark.range(10, 200_000).select(F.col("id").alias("xid"), F.when(F.col("id") % 5 == 0, "aborted").otherwise("committed").alias("status"))
+    xid = F.explode(F.expr("sequence(10 + c_custkey * 4, 10 + c_custkey * 4 + c_custkey % 4)")).alias("xid")
+    status = table(spark, sf, "customer").select("c_custkey").distinct().select(xid).select("xid", F.when(F.col("xid") % 5 == 0, "aborted").otherwise("committed").alias("status"))
     return pages.decode(pages.visible(chain_pages(spark, sf), status), PAIR).select("k", "v")
 
 

@@ -32,3 +32,15 @@ def test_time_travel_equals_brute_force(spark):
     for bucket in (4, 1024):
         got = timetravel.image_redundant(spark.createDataFrame(ranges, "range long, rel long, start long, end long"), f, 20, 90, bucket).collect()
         assert len(got) == len(ranges) and {r.range: r.redundant for r in got} == want
+
+
+def test_chains_of_any_customer_have_statuses(spark, tmp_path):
+    keys = [0, 1, 2, 3, 49_997, 49_998, 60_001, 60_002, 60_003, 168_161_795]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    want = set()
+    for k in keys:
+        for v in range(k % 4 + 1):
+            if (10 + 4 * k + v) % 5 and not (v < k % 4 and (11 + 4 * k + v) % 5):
+                want.add((k, v))
+                break
+    assert {tuple(r) for r in registry.queries()["hot_chain_emit"](spark, str(tmp_path)).collect()} == want
