@@ -2,12 +2,17 @@
 
 A recording becomes frames of 12 pitch-class energies. Filters over an integral image of the frames
 (rectangles of time by pitch, compared by the log ratio of their sums) are quantised to two bits of
-Gray code each; FILTERS of them are packed in one 32-bit integer a frame. Two recordings align at
-the offset where most of their equal integers agree (a histogram of offsets), and the share of
-differing bits over the frames in common tells if they match.
+Gray code each; FILTERS of them are packed in one 32-bit integer a frame. The bits that two recordings
+share are counted at all their offsets (by correlation, exact after rounding), and they match at one
+whose share of differing bits over the frames in common is small enough. Of such offsets they align at
+the one with most equal bits beyond half.
+
+Under WIDTH frames in common, or where a recording stands still, few differing bits are chance: there
+an offset also needs VOTES equal integers that differ from the one before. A recording that lies whole
+in the other needs no change, and under WIDTH frames VOTES equal integers or all it has.
 
 Recordings of equal fingerprints are one class, searched once, so a group of copies of any size
-costs one search. Stated queries alone ask; what a pair of classes shares is counted by offset.
+costs one search. Stated queries alone ask; queries and classes meet in blocks, each with each.
 
 A null, empty or undecodable recording, and one shorter than a filter, has an empty fingerprint and
 no links. Repeated rows belong to one class; a null id is kept.
@@ -24,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from pagelake.llm.arrow import map_rows
 from pagelake.session import staged
@@ -36,9 +41,11 @@ WIDTH = 16
 FILTERS = 16
 #: Log ratios between which two bits tell.
 STEPS = (-0.25, 0.0, 0.25)
-#: Equal integers that two recordings need at one offset, and their share of differing bits at most.
+#: Equal integers that two recordings need at an offset that chance may reach, and their share of differing bits at most.
 VOTES = 3
 ERRORS = 0.25
+#: Classes of a block.
+BLOCK = 64
 
 
 def read_wave(raw: bytes | None) -> tuple[np.ndarray, int]:
@@ -143,6 +150,68 @@ def fingerprints(media: DataFrame, id_column: str, column: str, load: Callable =
     return map_rows(media.select(id_column, column), run, schema)
 
 
+def _moved(p: np.ndarray) -> np.ndarray:
+    return np.hstack([np.ones((len(p), 1), bool), p[:, 1:] != p[:, :-1]])
+
+
+def _spectra(p: np.ndarray, width: int) -> np.ndarray:
+    """Of each bit as 1 or -1 over time: frequency by recording by bit."""
+    signs = ((p[:, :, None] >> np.arange(32, dtype=np.uint32)) & np.uint32(1)).astype(float) * 2 - 1
+    return np.ascontiguousarray(np.fft.rfft(signs, width, axis=1).transpose(1, 0, 2))
+
+
+def align(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of recordings of one length (rows of p) and of another (rows of q): row in p, row in q, shift, size, errors of each pair that matches."""
+    m, n = p.shape[1], q.shape[1]
+    sums = np.fft.irfft(_spectra(p, m + n) @ _spectra(q, m + n).conj().transpose(0, 2, 1), m + n, axis=0)
+    shifts = np.arange(1 - n, m)
+    lows = np.maximum(0, shifts)
+    sizes = np.minimum(m, n + shifts) - lows
+    errors = np.rint(16 * sizes[:, None, None] - sums[shifts % (m + n)] / 2).astype(int)
+    k, i, j = np.nonzero(errors <= (ERRORS * 32 * sizes)[:, None, None])
+    shift, low, size, errors = shifts[k], lows[k], sizes[k], errors[k, i, j]
+    mp, mq, whole = _moved(p), _moved(q), size == min(m, n)
+    cp, cq = (np.hstack([np.zeros((len(x), 1), int), np.cumsum(x, axis=1)]) for x in (mp, mq))
+    changes = np.minimum(cp[i, low + size] - cp[i, low], cq[j, low - shift + size] - cq[j, low - shift])
+    sure = (size >= WIDTH) & (whole | (changes >= VOTES))
+    votes, equal = np.zeros(len(k), int), np.zeros(len(k), int)
+    at, t = np.flatnonzero(~sure), 0
+    while len(at):
+        a, b = low[at] + t, low[at] - shift[at] + t
+        same = p[i[at], a] == q[j[at], b]
+        equal[at] += same
+        votes[at] += same & mp[i[at], a] & mq[j[at], b]
+        t += 1
+        at = at[size[at] > t]
+    ok = np.flatnonzero(sure | (votes >= VOTES) | (whole & (equal >= np.minimum(VOTES, size))))
+    pair = i[ok] * len(q) + j[ok]
+    order = ok[np.lexsort((shift[ok], np.abs(shift[ok]), errors[ok] - 16 * size[ok], pair))]
+    first = order[np.unique(i[order] * len(q) + j[order], return_index=True)[1]]
+    return i[first], j[first], shift[first], size[first], errors[first]
+
+
+def _block(ids: pa.Array, prints: pa.Array) -> Iterator[tuple[list, np.ndarray]]:
+    """Ids and fingerprints as a matrix, for each length."""
+    flat, ends, names = prints.flatten().to_numpy(zero_copy_only=False).view(np.uint32), np.cumsum(prints.value_lengths().to_numpy()), ids.to_pylist()
+    lengths = np.diff(np.r_[0, ends])
+    for n in np.unique(lengths):
+        rows = np.flatnonzero(lengths == n)
+        yield [names[r] for r in rows], flat[(ends[rows] - n)[:, None] + np.arange(n)]
+
+
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        for row in range(len(batch)):
+            left, right = (list(_block(x.field("class_id"), x.field("p"))) for x in (batch.column(0)[row].values, batch.column(1)[row].values))
+            for ids_a, p in left:
+                for ids_b, q in right:
+                    step = max(1, (1 << 16) // (p.shape[1] + q.shape[1]))  # spectra and sums stay small
+                    for x in range(0, len(p), step):
+                        for y in range(0, len(q), step):
+                            for i, j, *told in zip(*(c.tolist() for c in align(p[x : x + step], q[y : y + step])), strict=True):
+                                yield ids_a[x + i], ids_b[y + j], *told
+
+
 def search(prints: DataFrame, id_column: str, query: str) -> DataFrame:
     """One row a recording: id, class_id, n_frames, n_links, best_id, shift, bit_errors, frames.
 
@@ -153,15 +222,18 @@ def search(prints: DataFrame, id_column: str, query: str) -> DataFrame:
     rows = staged(prints.select(F.col(id_column).alias("id"), "prints", F.sha2(F.array_join(F.col("prints").cast("array<string>"), ","), 256).alias("h")), "prints")
     own = rows.groupBy("h").agg(F.min("id").alias("class_id"), F.max(F.coalesce(F.expr(query.replace(id_column, "id")), F.lit(False))).alias("asks"), F.min_by("prints", "id").alias("p"))
     classes = staged(own.select("class_id", "asks", F.coalesce("p", F.expr("cast(array() as array<int>)")).alias("p"), "h"), "classes")
-    # the frames at which an integer differs from the one before: what stands still is indexed once
-    keys = classes.select("class_id", "asks", F.posexplode("p").alias("at", "key"), F.col("p")).where("at = 0 or p[at - 1] <> key").select("class_id", "asks", "at", "key")
-    met = keys.where("asks").select(F.col("class_id").alias("a"), "key", F.col("at").alias("at_a")).join(keys.select(F.col("class_id").alias("b"), F.col("asks").alias("b_asks"), "key", F.col("at").alias("at_b")), "key")
-    votes = met.where("a <> b and not (b_asks and b < a)").groupBy("a", "b", (F.col("at_a") - F.col("at_b")).alias("shift")).agg(F.count("*").alias("votes")).where(F.col("votes") >= VOTES)
-    best = votes.groupBy("a", "b").agg(F.max(F.struct("votes", (-F.abs("shift")).alias("o"), "shift")).alias("v")).select("a", "b", "v.shift")
-    both = best.join(classes.select(F.col("class_id").alias("a"), F.col("p").alias("pa")), "a").join(classes.select(F.col("class_id").alias("b"), F.col("p").alias("pb")), "b")
-    both = both.select("*", F.greatest(F.lit(0), "shift").alias("low")).select("*", (F.least(F.size("pa"), F.size("pb") + F.col("shift")) - F.col("low")).alias("size")).where("size > 0")
-    told = both.select("a", "b", "shift", "size", F.expr("aggregate(zip_with(slice(pa, low + 1, size), slice(pb, low - shift + 1, size), (x, y) -> bit_count(cast(x ^ y as bigint) & 4294967295L)), 0L, (s, x) -> s + x)").alias("errors"))
-    links = staged(told.where(F.col("errors") <= ERRORS * 32 * F.col("size")), "links")
+    counts = classes.agg(F.count("*").alias("n"), F.count_if("asks").alias("asks")).first()
+    full = classes.where("class_id is not null and size(p) > 0")
+
+    def blocks(of: DataFrame, n: int, name: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("h"), F.lit(max(1, -(-n // BLOCK))))
+        return of.groupBy(block.alias("k")).agg(F.collect_list(F.struct("class_id", "p")).alias(name)).select(name)
+
+    asked, all_ = blocks(full.where("asks"), counts["asks"], "left"), blocks(full, counts["n"], "right")
+    kind = StructType([StructField("a", classes.schema["class_id"].dataType), StructField("b", classes.schema["class_id"].dataType), *(StructField(c, LongType()) for c in ("shift", "size", "errors"))])
+    met = map_rows(all_.repartition(48).crossJoin(F.broadcast(asked)).select("left", "right"), _aligned, kind)
+    asks = classes.select(F.col("class_id").alias("b"), F.col("asks").alias("b_asks"))
+    links = staged(met.where("a <> b").join(asks, "b").where("not (b_asks and b < a)").select("a", "b", "shift", "size", "errors"), "links")
     each = links.select(F.col("a").alias("class_id"), F.col("b").alias("other"), "shift", "size", "errors").unionByName(links.select(F.col("b").alias("class_id"), F.col("a").alias("other"), (-F.col("shift")).alias("shift"), "size", "errors"))
     first = F.min(F.struct((F.col("errors") / F.col("size")).alias("share"), "other", "shift", "errors", "size"))
     summed = each.groupBy("class_id").agg(F.count("*").alias("n_links"), first.alias("f"))
