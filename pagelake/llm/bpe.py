@@ -1,14 +1,17 @@
 """Byte-pair encoding as vectorised merge rounds over flat numpy arrays.
 
 A chunk of texts is one array of code points. Texts fall into words that no merge can cross;
-equal words are found by a 64-bit polynomial hash and merged once. The symbols of all new words
-lie in one flat array. A round takes, in every word, the pair of lowest rank (segmented minimum),
-merges its leftmost place in all words at once, compacts the array, and looks up only the pairs
-that changed; words without a pair left leave the array. One merge a word and round keeps the
-order of the sequential algorithm exactly, also for vocabularies in which a longer piece
-outranks its parts.
-
-Words longer than LONG symbols go through a heap of pairs, as rounds would be quadratic there.
+equal words are merged once: a hash finds them, and their code points are compared before one
+stands for the other. The symbols of all new words lie in one flat array. A round takes, in every
+word, the pair of lowest rank (segmented minimum), merges its places in all words at once, compacts
+the array, and looks up only the pairs that changed; words without a pair left leave the array.
+
+The order of the sequential algorithm is kept exactly. A word's places of lowest rank merge together
+as far as the merged pieces have no pair of that rank or a lower one, else up to the first that has;
+that also holds for vocabularies in which a longer piece outranks its parts. A place deep in a long
+word merges early where its rank is the least among all places that any piece could join it to
+before (_early), so the rounds of a word don't grow with its length.
+
 Texts with a character outside SAFE are encoded by the library itself (tokenizers files only):
 its tables of letters and lower case may differ from Python's there.
 """
@@ -16,7 +19,6 @@ its tables of letters and lower case may differ from Python's there.
 from __future__ import annotations
 
 import functools
-import heapq
 import json
 import unicodedata
 from collections.abc import Iterator, Sequence
@@ -24,11 +26,12 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 
-LONG = 256
 #: Characters of a chunk; one longer text is a chunk of its own.
 CHUNK = 1 << 20
 #: Words kept between chunks; beyond this the cache starts anew.
 CACHE = 700_000
+#: Characters and ids of words kept between chunks.
+LETTERS = 1 << 24
 
 _NONE = np.int32(2**31 - 1)
 _R = np.uint64(0x9E3779B97F4A7C15)
@@ -46,6 +49,10 @@ class Pairs:
         self.keys = np.full(1 << self.bits, -1, np.int64)
         self.slot = np.full(1 << self.bits, -1, np.int32)
         self.rank, self.merged = rank.astype(np.int32), merged.astype(np.int32)
+        # the lowest rank of a pair that a piece is in
+        self.low = np.full(int(max(a.max(initial=0) for a in (left, right, merged))) + 1, _NONE)
+        for side in (left, right):
+            np.minimum.at(self.low, side, self.rank)
         keys, todo = self._key(left, right), np.arange(len(left))
         at = self._home(keys)
         while len(todo):
@@ -82,15 +89,46 @@ class Pairs:
             todo, at = todo[go], at[go]
         return out
 
-    @functools.cached_property
-    def as_dict(self) -> dict[int, int]:
-        used = self.keys != -1
-        return dict(zip(self.keys[used].tolist(), self.slot[used].tolist(), strict=True))
 
+def _early(rank: np.ndarray, far: int) -> np.ndarray:
+    """Places whose rank is below all of the far places before them, and above none of the far places behind.
 
-def merge_rounds(pairs: Pairs, symbols: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Merge every word of a flat symbol array to its end. lens >= 1; returns symbols and lens."""
-    n = len(lens)
+    No piece is longer than reach symbols, and far is 2 * reach + 2. What merges further away can
+    reach in by reach at most, and the place's own merges reach out by as much, so neither meets the
+    other, and in between nothing goes before the place. Merging it now changes nothing.
+    """
+    least = np.concatenate([np.full(far, _NONE), rank, np.full(far + 1, _NONE)])
+    width = 1
+    while width * 2 <= far:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    if width < far:
+        least = np.minimum(least[: -(far - width)], least[far - width :])
+    # least[k] is the minimum of far places from k on, where place 0 of the word is at far
+    n = len(rank)
+    return np.flatnonzero((rank < least[:n]) & (rank <= least[far + 1 : far + 1 + n]) & (rank != _NONE))
+
+
+def _lowest(pairs: Pairs, word: np.ndarray, rank: np.ndarray, index: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Places of each word's lowest rank that merge in one round; low is the rank for each place."""
+    at = np.flatnonzero(rank == low)
+    place = np.arange(len(at))
+    own = word[at]
+    first = np.r_[True, own[1:] != own[:-1]]
+    run = first | np.r_[True, at[1:] != at[:-1] + 1]
+    at = at[(place - np.maximum.accumulate(np.where(run, place, 0))) % 2 == 0]  # of overlapping pairs the left one
+    own = word[at]
+    first = np.r_[True, own[1:] != own[:-1]]
+    ends = pairs.low[pairs.merged[index[at]]] <= rank[at]
+    if not ends.any():
+        return at
+    before = np.cumsum(ends) - ends
+    return at[before == before[np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))]]
+
+
+def merge_rounds(pairs: Pairs, symbols: np.ndarray, lens: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Merge every word of a flat symbol array to its end. lens >= 1; no piece has over reach symbols."""
+    n, far = len(lens), 2 * reach + 2
     out_len = np.zeros(n, np.int64)
     done_sym: list[np.ndarray] = []
     done_word: list[np.ndarray] = []
@@ -124,8 +162,13 @@ def merge_rounds(pairs: Pairs, symbols: np.ndarray, lens: np.ndarray) -> tuple[n
             if not len(sym):
                 break
             size, low = size[~ended], low[~ended]
-        at = np.flatnonzero(rank == np.repeat(low, size))
-        at = at[np.r_[True, word[at][1:] != word[at][:-1]]]
+        at = _lowest(pairs, word, rank, index, np.repeat(low, size))
+        if (long := size > far).any():  # a shorter word lies in the reach of its lowest rank
+            inside = np.flatnonzero(np.repeat(long, size))
+            if len(early := _early(rank[inside], far)):
+                chosen = np.zeros(len(sym), bool)
+                chosen[at] = chosen[inside[early]] = True
+                at = np.flatnonzero(chosen)
         sym[at] = pairs.merged[index[at]]
         keep = np.ones(len(sym), bool)
         keep[at + 1] = False
@@ -141,37 +184,6 @@ def merge_rounds(pairs: Pairs, symbols: np.ndarray, lens: np.ndarray) -> tuple[n
     return sym[order], np.bincount(word, minlength=n)
 
 
-def merge_heap(pairs: Pairs, symbols: list[int]) -> list[int]:
-    """The same merges for one long word."""
-    look, rank, merged = pairs.as_dict, pairs.rank, pairs.merged
-    sym, n = list(symbols), len(symbols)
-    nxt, prev = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap: list[tuple[int, int, int, int]] = []
-
-    def push(i: int) -> None:
-        j = nxt[i]
-        if j < n and sym[i] >= 0 and sym[j] >= 0 and (k := look.get((sym[i] << 32) | sym[j])) is not None:
-            heapq.heappush(heap, (int(rank[k]), i, sym[i], sym[j]))
-
-    for i in range(n - 1):
-        push(i)
-    alive = [True] * n
-    while heap:
-        _, i, a, b = heapq.heappop(heap)
-        j = nxt[i]
-        if not alive[i] or sym[i] != a or j >= n or sym[j] != b:
-            continue
-        sym[i] = int(merged[look[(a << 32) | b]])
-        alive[j] = False
-        nxt[i] = nxt[j]
-        if nxt[j] < n:
-            prev[nxt[j]] = i
-        push(i)
-        if prev[i] >= 0:
-            push(prev[i])
-    return [s for s, a in zip(sym, alive, strict=True) if a]
-
-
 @functools.cache
 def _mix() -> np.ndarray:
     x = np.arange(0x110000, dtype=np.uint64) + _R
@@ -191,7 +203,7 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(cps: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's content, wherever it lies."""
+    """A 64-bit hash of each span's content, wherever it lies. Spans of one hash may differ."""
     power, inverse = _powers(max(20, int(len(cps) + 1).bit_length()))
     total = np.zeros(len(cps) + 1, np.uint64)
     np.cumsum(_mix()[cps] * power[: len(cps)], out=total[1:])
@@ -282,7 +294,7 @@ def split_words(flat: Flat, cps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Known:
-    """Word hashes seen, numbered in order: open addressing in two arrays, probed for whole arrays.
+    """Word hashes seen, and a number of each: open addressing in two arrays, probed for whole arrays.
 
     Python's own dictionary would take five times the memory for each worker."""
 
@@ -291,7 +303,6 @@ class Known:
         self.mask = (1 << self.bits) - 1
         self.keys = np.zeros(1 << self.bits, np.uint64)
         self.number = np.full(1 << self.bits, -1, np.int32)
-        self.size = 0
 
     def _home(self, hashes: np.ndarray) -> np.ndarray:
         return ((hashes * _R) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -308,10 +319,8 @@ class Known:
             todo, at = todo[go], (at[go] + 1) & self.mask
         return out
 
-    def add(self, hashes: np.ndarray) -> None:
+    def add(self, hashes: np.ndarray, number: np.ndarray) -> None:
         """Number distinct hashes that aren't there yet."""
-        number = np.arange(self.size, self.size + len(hashes), dtype=np.int32)
-        self.size += len(hashes)
         todo, at = np.arange(len(hashes)), self._home(hashes)
         while len(todo):
             free = np.flatnonzero(self.number[at] < 0)
@@ -322,22 +331,75 @@ class Known:
             todo, at = todo[rest], (at[rest] + 1) & self.mask
 
 
+class Store:
+    """Arrays of various lengths, one after the other in a flat one that grows."""
+
+    def __init__(self, kind: type):
+        self.flat = np.zeros(1 << 16, kind)
+        self.at = np.zeros(1 << 12, np.int64)
+        self.len = np.zeros(1 << 12, np.int64)
+        self.used = self.size = 0
+
+    def add(self, flat: np.ndarray, lens: np.ndarray) -> None:
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.size + len(lens) > len(self.at):
+            self.at, self.len = (np.concatenate([a, np.zeros_like(a)]) for a in (self.at, self.len))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.at[self.size : self.size + len(lens)] = self.used + np.cumsum(lens) - lens
+        self.len[self.size : self.size + len(lens)] = lens
+        self.used += len(flat)
+        self.size += len(lens)
+
+    def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The arrays of these numbers, joined, and their lengths."""
+        return spans(self.flat, self.at[which], self.len[which]), self.len[which]
+
+
+def spans(flat: np.ndarray, start: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Spans of a flat array, joined."""
+    ends = np.cumsum(lens)
+    return flat[np.repeat(start - (ends - lens), lens) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def unequal(a: np.ndarray, a_start: np.ndarray, a_len: np.ndarray, b: np.ndarray, b_start: np.ndarray, b_len: np.ndarray) -> np.ndarray:
+    """Which spans of a differ from their spans of b."""
+    out = a_len != b_len
+    same = np.flatnonzero(~out & ((a_start != b_start) | (a is not b)))
+    lens = a_len[same]
+    if not len(same):
+        return out
+    # places fit 32 bits: a chunk and the letters kept are far smaller, but for a text of 2 ** 31 characters
+    kind = np.int32 if max(len(a), len(b)) < 1 << 31 else np.int64
+    ends = np.cumsum(lens)
+    place = np.repeat((a_start[same] - (ends - lens)).astype(kind), lens)
+    place += np.arange(len(place), dtype=kind)
+    left = a.take(place)
+    place += np.repeat((b_start[same] - a_start[same]).astype(kind), lens)
+    differ = np.flatnonzero(left != b.take(place))
+    out[same[np.searchsorted(ends, differ, side="right")]] = True
+    return out
+
+
 class Encoder:
     """Turns lists of texts into flat ids; subclasses split texts and give words' symbols."""
 
     pairs: Pairs
+    #: Symbols of the longest piece.
+    reach: int
 
     def __init__(self) -> None:
         self._forget()
 
     def _forget(self, words: int = 0) -> None:
         self.known = Known(max(CACHE, words))
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.at = np.zeros(1 << 12, np.int64)
-        self.len = np.zeros(1 << 12, np.int64)
+        self.ids = Store(np.uint32)
+        self.letters = Store(np.uint32)
+        #: Words that differ from another one of their hash.
+        self.other: dict[str, int] = {}
 
     def _split(self, flat: Flat) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Code points, and where words start and end in them."""
         raise NotImplementedError
 
     def _symbols(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -349,61 +411,46 @@ class Encoder:
     def _library(self, text: str) -> list[int] | None:
         return None
 
-    def _merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        sym, lens = self._symbols(words)
-        if len(lens) and lens.max() > LONG:
-            ends = np.cumsum(lens)
-            parts, out = [], np.zeros(len(lens), np.int64)
-            short = lens <= LONG
-            flat, out[short] = merge_rounds(self.pairs, sym[np.repeat(short, lens)], lens[short])
-            flat_end = np.cumsum(out)
-            for i in range(len(lens)):
-                if short[i]:
-                    continue
-                parts.append((i, merge_heap(self.pairs, sym[ends[i] - lens[i] : ends[i]].tolist())))
-            pieces, last = [], 0
-            for i, got in parts:
-                pieces += [flat[last : flat_end[i]], np.array(got, np.int32)]
-                last = flat_end[i]
-                out[i] = len(got)
-            sym, lens = np.concatenate([*pieces, flat[last:]]), out
-        else:
-            sym, lens = merge_rounds(self.pairs, sym, lens)
-        return self._finish(sym, lens, words)
-
-    def _learn(self, words: list[str], hashes: np.ndarray) -> None:
-        sym, lens = self._merge(words)
-        while self.used + len(sym) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        k = self.known.size
-        while k + len(words) > len(self.at):
-            self.at, self.len = (np.concatenate([a, np.zeros_like(a)]) for a in (self.at, self.len))
-        self.ids[self.used : self.used + len(sym)] = sym
-        self.at[k : k + len(words)] = self.used + np.cumsum(lens) - lens
-        self.len[k : k + len(words)] = lens
-        self.used += len(sym)
-        self.known.add(hashes)
+    def _learn(self, words: list[str]) -> np.ndarray:
+        """Encode words; the numbers by which their ids are kept."""
+        sym, lens = merge_rounds(self.pairs, *self._symbols(words), self.reach)
+        self.ids.add(*self._finish(sym, lens, words))
+        self.letters.add(np.frombuffer("".join(words).encode("utf-32-le"), np.uint32), np.fromiter(map(len, words), np.int64, len(words)))
+        return np.arange(self.ids.size - len(words), self.ids.size, dtype=np.int32)
+
+    def _numbers(self, flat: Flat, cps: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The number of each word. Words of one hash are compared with the one that it names."""
+        lens = end - start
+        codes, unique = pd.factorize(span_hashes(cps, start, end))
+        first = np.flatnonzero(np.diff(np.maximum.accumulate(codes), prepend=-1))
+        if self.ids.size + len(unique) > CACHE or max(self.ids.used, self.letters.used) > LETTERS:
+            self._forget(len(unique))
+        number = self.known.find(unique)
+        wrong = np.zeros(len(unique), bool)
+        old, new = np.flatnonzero(number >= 0), np.flatnonzero(number < 0)
+        of = number[old]
+        wrong[old] = unequal(cps, start[first[old]], lens[first[old]], self.letters.flat, self.letters.at[of], self.letters.len[of])
+        if len(new):
+            number[new] = self._learn([flat.joined[a:b] for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
+            self.known.add(unique[new], number[new])
+        same = first[codes]
+        odd = np.flatnonzero(wrong[codes] | unequal(cps, start, lens, cps, start[same], lens[same]))
+        out = number[codes]
+        if len(odd):
+            words = [flat.joined[a:b] for a, b in zip(start[odd].tolist(), end[odd].tolist(), strict=True)]
+            if fresh := list(dict.fromkeys(w for w in words if w not in self.other)):
+                self.other.update(zip(fresh, self._learn(fresh).tolist(), strict=True))
+            out[odd] = [self.other[w] for w in words]
+        return out
 
     def _chunk(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         flat = Flat(texts)
-        start, end, hashes = self._split(flat)
+        cps, start, end = self._split(flat)
         counts = np.zeros(len(texts), np.int64)
         if not len(start):
             return np.zeros(0, np.uint32), counts
-        codes, unique = pd.factorize(hashes)
-        first = np.flatnonzero(np.diff(np.maximum.accumulate(codes), prepend=-1))
-        if self.known.size + len(unique) > CACHE:
-            self._forget(len(unique))
-        number = self.known.find(unique)
-        new = np.flatnonzero(number < 0)
-        if len(new):
-            joined, at = flat.joined, first[new]
-            number[new] = np.arange(self.known.size, self.known.size + len(new))
-            self._learn([joined[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)], unique[new])
-        slot = number[codes]
-        lens = self.len[slot]
-        ends = np.cumsum(lens)
-        ids = self.ids[np.repeat(self.at[slot] - (ends - lens), lens) + np.arange(ends[-1])]
+        numbers = self._numbers(flat, cps, start, end)
+        ids, lens = self.ids.take(numbers)
         counts += np.bincount(np.searchsorted(flat.ends, start), weights=lens, minlength=len(texts)).astype(np.int64)
         return ids, counts
 
@@ -451,6 +498,7 @@ class FileEncoder(Encoder):
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         left, right, merged = (np.array(a, np.int64) for a in zip(*((vocab[a], vocab[b], vocab[a + b]) for a, b in pairs), strict=True))
         self.pairs = Pairs(left, right, np.arange(len(pairs)), merged)
+        self.reach = max(len(t) for t in vocab)
         shown = byte_characters()
         self.of_byte = np.array([vocab[c] for c in shown], np.int32)
         self.of_last = np.array([vocab[c + self.suffix] for c in shown], np.int32)
@@ -474,7 +522,7 @@ class FileEncoder(Encoder):
         else:
             cps = flat.cps
             start, end = split_bytes(flat)
-        return start, end, span_hashes(cps, start, end)
+        return cps, start, end
 
     def _symbols(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         raw = [w.encode() for w in words]
@@ -526,6 +574,7 @@ class PieceEncoder(Encoder):
                 raise ValueError("a piece holds a character without a piece")
             rows += [(piece[p[:k]], piece[p[k:]], order[i], i) for k in range(1, len(p)) if p[:k] in piece and p[k:] in piece]
         self.pairs = Pairs(*(np.array(a, np.int64) for a in zip(*rows, strict=True)))
+        self.reach = max(map(len, piece))
 
     def _chunk(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         return super()._chunk([self.MARK + t.replace(" ", self.MARK) if t else "" for t in texts])
@@ -540,8 +589,7 @@ class PieceEncoder(Encoder):
         keep = np.ones(len(flat.cps), bool)
         keep[flat.ends] = False
         keep = keep[start]
-        start, end = start[keep], end[keep]
-        return start, end, span_hashes(flat.cps, start, end)
+        return flat.cps, start[keep], end[keep]
 
     def _symbols(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lens = np.fromiter(map(len, words), np.int64, len(words))

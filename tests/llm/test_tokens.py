@@ -41,6 +41,40 @@ def test_encoder_equals_library_on_random_texts(path):
     assert [g.tolist() for g in bpe.encoder(path).encode(texts)] == [lib(t) for t in texts]
 
 
+def thue_morse(n, a="a", b="b"):
+    """Two words of n letters, which any polynomial hash modulo 2**64 confuses from 2**10 letters on."""
+    odd = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join(b if o else a for o in odd), "".join(a if o else b for o in odd)
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS, PIECES])
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_of_equal_hash_are_told_apart(path, n):
+    lib, pairs = library(path), [thue_morse(n), thue_morse(n, "e", "r")]
+    assert len(set(bpe.span_hashes(np.array([ord(c) for t in pairs[0] for c in t]), np.array([0, n]), np.array([n, 2 * n])).tolist())) == 1
+    flat = [t for p in pairs for t in p]
+    for texts in (flat, [" ".join(flat), " ".join(flat[::-1])], ["x " + flat[1], flat[0] + " x"]):
+        one = bpe.PieceEncoder(path) if path == PIECES else bpe.FileEncoder(path)
+        want = [lib(t) for t in texts]
+        for _ in range(2):  # cold and cached
+            assert [g.tolist() for g in one.encode(texts)] == want
+        for t, w in zip(texts[::-1], want[::-1], strict=True):  # a chunk each
+            assert [g.tolist() for g in one.encode([t])] == [w]
+        assert one.other or texts is not flat
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS, PIECES])
+@pytest.mark.parametrize("seed", range(3))
+def test_long_words_equal_library(path, seed):
+    rnd = random.Random(seed)
+    lib = library(path)
+    kinds = ["ab", "aab", "=", "-=", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", "enrstai", "the", "日本語中文字の是在", "ÃÂ", "_ ▁"]
+    texts = ["".join(rnd.choice(k) for _ in range(rnd.choice([300, 1500, 6000]))) for k in kinds]
+    words = [t for t in ("representation", "the", "straightforward", "ation", "ing", "aaa", "====", "tion", "ization")]
+    texts += ["".join(rnd.choice(words) for _ in range(n)) for n in (50, 400, 2000)] + ["".join(rnd.choice(["a", "aa", "ab", "=", "--"]) * rnd.randint(1, 300) for _ in range(60))]
+    assert [g.tolist() for g in bpe.encoder(path).encode(texts)] == [lib(t) for t in texts]
+
+
 def test_cache_starts_anew_and_chunks_do_not_matter(monkeypatch, documents):
     monkeypatch.setattr(bpe, "CACHE", 500)
     monkeypatch.setattr(bpe, "CHUNK", 1000)
