@@ -6,11 +6,17 @@ both and the share of good documents, from the counts of vote patterns alone: RU
 most 3 ** RULES patterns, however many documents there are. The posterior probability of being
 good then decides, in place of all rules having to pass.
 
-Rates stay within RATE, so that a rule remains better than chance and "good" keeps its meaning;
-a table without documents leaves them at their start.
-
-Nulls: a null text has no words and fails the base rule. Repeated rows and null ids are kept as
-they are. Columns of clashing names are not read.
+Rates on good documents stay within RATE, and a rule speaks against bad documents more often than
+against good ones by MARGIN at least, so "good" keeps its meaning; a rule that nearly all documents
+pass tells little either way. A table without documents leaves the rates at their start. The symbol
+rules look at different things: symbols for each word, words of symbols alone, and others that end in one.
+"common" abstains where under two of its words occur, as in a language that it doesn't list.
+
+Nulls: a null text has no words and fails the base rule; a null id is kept. A repeated row is judged
+as often as it occurs, and alike. An empty table gives no rows. Of further columns those asked for
+come back unchanged, whatever their names: scores() reads the id and the text alone, and kept() and
+judge() carry the row in one struct. Texts of any length are taken whole; their windows are sorted
+by the three words themselves.
 """
 
 from __future__ import annotations
@@ -34,30 +40,27 @@ COMMON = (
 )
 ROUNDS = 25
 START, RATE = 0.8, (0.55, 0.99)
+#: A rule speaks against a bad document more often than against a good one, by so much at least.
+MARGIN = 0.02
 PRIOR = (0.1, 0.98)
 KEEP = 0.5
-#: Bits of a packed value that hold a word's place.
-_PLACE = 26
 
 
 def measure(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """The kept columns and, in __m, what the rules look at."""
     df = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__t"))
     df = df.select(*keep, "__t", F.array_remove(F.split("__t", SPACES), "").alias("__w"), F.expr("filter(split(__t, '\\n'), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]')").alias("__l"))
-    # a place and the upper bits of its three words' hash in one long, sorted
-    packed = f"""case when size(__w) > 2 then sort_array(transform(sequence(0, size(__w) - 3), i ->
-        (shiftleft(shiftrightunsigned(xxhash64(__w[i], __w[i + 1], __w[i + 2]), {_PLACE}), {_PLACE}) | cast(i as bigint)))) end"""
-    df = df.select(*keep, "__t", "__w", "__l", F.expr(packed).alias("__p"))
-    mask = (1 << _PLACE) - 1
+    # windows sorted by their three words, then place: equal ones are neighbours, whatever lies between them in the text
+    sorted_ = """case when size(__w) > 2 then sort_array(arrays_zip(
+        slice(__w, 1, size(__w) - 2), slice(__w, 2, size(__w) - 2), slice(__w, 3, size(__w) - 2), sequence(0, size(__w) - 3))) end"""
+    df = df.select(*keep, "__t", "__w", "__l", F.expr(sorted_).alias("__p"))
 
     def same(j: str) -> str:
-        a, b = f"cast(x & {mask} as int)", f"cast(__p[{j}] & {mask} as int)"
-        words = " and ".join(f"__w[{a} + {k}] = __w[{b} + {k}]" for k in range(3))
-        return f"(shiftrightunsigned(__p[{j}], {_PLACE}) = shiftrightunsigned(x, {_PLACE}) and {words})"
+        return "(" + " and ".join(f"__p[{j}].`{k}` = x.`{k}`" for k in range(3)) + ")"
 
     twice = f"filter(__p, (x, j) -> (j > 0 and {same('j - 1')}) or (j + 1 < size(__p) and {same('j + 1')}))"
-    df = df.select(*keep, "__t", "__w", "__l", F.expr(f"sort_array(transform({twice}, x -> x & {mask}))").alias("__r"))
-    repeat = "aggregate(transform(__r, (p, j) -> if(j = 0, 3L, least(3L, p - __r[j - 1]))), 0L, (a, x) -> a + x)"
+    df = df.select(*keep, "__t", "__w", "__l", F.expr(f"sort_array(transform({twice}, x -> x.`3`))").alias("__r"))
+    repeat = "aggregate(transform(__r, (p, j) -> if(j = 0, 3L, least(3L, cast(p - __r[j - 1] as bigint)))), 0L, (a, x) -> a + x)"
     common = ", ".join(f"'{w}'" for w in sorted(set(COMMON)))
     return df.select(*keep, F.struct(
         F.size("__w").cast("long").alias("n_words"),
@@ -67,7 +70,8 @@ def measure(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
         F.coalesce(F.expr(repeat), F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size("__l").cast("long").alias("n_lines"),
         F.expr("size(filter(__l, l -> l rlike '[.!?\"”»:;…)][\\\\x20\\\\x09-\\\\x0D]*$'))").cast("long").alias("n_closed_lines"),
-        F.expr("regexp_count(__t, '[#*$%&|<>]+')").cast("long").alias("n_marks"),
+        F.expr("size(filter(__w, w -> rtrim('#*$%&|<>', w) = ''))").cast("long").alias("n_bare"),
+        F.expr("size(filter(__w, w -> right(w, 1) in ('#', '*', '$', '%', '&', '|', '<', '>') and rtrim('#*$%&|<>', w) <> ''))").cast("long").alias("n_glued"),
         F.expr("regexp_count(__t, '[0-9]')").cast("long").alias("n_digits"),
         F.expr(f"size(filter(slice(__w, 1, size(__w)), w -> lower(w) in ({common})))").cast("long").alias("n_common"),
     ).alias("__m"))
@@ -90,12 +94,12 @@ def rules() -> dict[str, Column]:
         return F.when(b > 0, a / b)
 
     symbols, lines, repeats = share(m.n_symbols, m.n_words), share(m.n_dup_lines, m.n_lines), share(m.n_repeat_words, m.n_words)
-    marks, density = share(m.n_marks, m.n_words), share(m.n_symbols, m.word_chars)
-    length, closed, digits, common = share(m.word_chars, m.n_words), share(m.n_closed_lines, m.n_lines), share(m.n_digits, m.word_chars), share(m.n_common, m.n_words)
+    bare, glued = share(m.n_bare, m.n_words), share(m.n_glued, m.n_words)
+    length, closed, digits, common = share(m.word_chars, m.n_words), share(m.n_closed_lines, m.n_lines), share(m.n_digits, m.word_chars), F.when(m.n_common >= 2, share(m.n_common, m.n_words))
     return {
         "symbols": _vote(symbols, symbols < 0.03, symbols > 0.15),
-        "marks": _vote(marks, marks < 0.03, marks > 0.12),
-        "density": _vote(density, density < 0.006, density > 0.03),
+        "bare": _vote(bare, bare < 0.1, bare > 0.3),
+        "glued": _vote(glued, glued < 0.03, glued > 0.15),
         "lines": _vote(lines, lines < 0.05, lines > 0.3),
         "repeats": _vote(repeats, repeats < 0.1, repeats > 0.3),
         "length": _vote(length, length.between(3.5, 9), ~length.between(2.5, 14)),
@@ -129,7 +133,7 @@ def fit(votes: DataFrame, names: list[str], rounds: int = ROUNDS) -> Model:
     model = Model(0.7, dict.fromkeys(names, START), dict.fromkeys(names, START))
     columns = {c: F.col(c) for c in names}
 
-    def within(right: float | None, all_: float | None, bounds: tuple[float, float]) -> float:
+    def within(right: float | None, all_: float | None, bounds: tuple[float, float]) -> float:  # two votes that agree with START are added
         return min(max(((right or 0) + 2 * START) / ((all_ or 0) + 2), bounds[0]), bounds[1])
 
     for _ in range(rounds):
@@ -140,20 +144,17 @@ def fit(votes: DataFrame, names: list[str], rounds: int = ROUNDS) -> Model:
                 sums += [F.sum(F.when(F.col(c) == v, F.col("n") * weight).otherwise(0.0)).alias(f"{kind}{v}_{c}") for v in (1, -1)]
         s = p.agg(*sums).first()
         before = model
-        model = Model(
-            within(s["good"], s["all"], PRIOR),
-            {c: within(s[f"g1_{c}"], (s[f"g1_{c}"] or 0) + (s[f"g-1_{c}"] or 0), RATE) for c in names},
-            {c: within(s[f"b-1_{c}"], (s[f"b1_{c}"] or 0) + (s[f"b-1_{c}"] or 0), RATE) for c in names},
-        )
+        good = {c: within(s[f"g1_{c}"], (s[f"g1_{c}"] or 0) + (s[f"g-1_{c}"] or 0), RATE) for c in names}
+        bad = {c: within(s[f"b-1_{c}"], (s[f"b1_{c}"] or 0) + (s[f"b-1_{c}"] or 0), (1 - good[c] + MARGIN, RATE[1])) for c in names}
+        model = Model(within(s["good"], s["all"], PRIOR), good, bad)
         if max(abs(a - b) for a, b in zip((model.prior, *model.good.values(), *model.bad.values()), (before.prior, *before.good.values(), *before.bad.values()), strict=True)) < 1e-4:
             break
     return model
 
 
-def judge(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns and __m, __failed (the base rule), __good (posterior) and __keep."""
-    keep = docs.columns if keep is None else keep
-    rows = staged(measure(docs, text, keep), "measured")
+def judge(docs: DataFrame, text: str = "text") -> DataFrame:
+    """row (the input's, in one struct), __m, __failed (the base rule), __good (posterior) and __keep."""
+    rows = staged(measure(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")), f"row.`{text}`", ["row"]), "measured")
     votes = rules()
     model = fit(rows.select(*(v.alias(k) for k, v in votes.items())), list(votes))
     rows = rows.select("*", base_failed().alias("__failed"), model.posterior(votes).alias("__good"))
@@ -163,11 +164,11 @@ def judge(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
 def scores(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """id, the base counts, base_failed, kept and the posterior of every row."""
     m = F.col("__m")
-    return judge(docs, text, [id_column]).select(
-        id_column, *(m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), F.col("__failed").alias("base_failed"), F.col("__keep").alias("kept"), F.col("__good").alias("posterior")
-    )
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    rows = judge(docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))).select("row.id", "__m", "__failed", "__keep", "__good")
+    return rows.select(F.col("id").alias(id_column), *(m[c].alias(c) for c in counts), F.col("__failed").alias("base_failed"), F.col("__keep").alias("kept"), F.col("__good").alias("posterior"))
 
 
 def kept(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs that are kept, as they are."""
-    return judge(docs, text).where("__keep").select(*docs.columns)
+    return judge(docs, text).where("__keep").select("row.*")
