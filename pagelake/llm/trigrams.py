@@ -29,6 +29,15 @@ class Query:
     def grams(self) -> set[str]:
         return {self.gram} if self.kind == "gram" else set().union(*(p.grams() for p in self.parts))
 
+    def lead(self) -> set[str]:
+        """Trigrams of which a text that satisfies the query holds one: few, and those with other characters than letters first."""
+        if self.kind == "gram":
+            return {self.gram}
+        if self.kind == "any":
+            return set().union(*(p.lead() for p in self.parts))
+        found = [p.lead() for p in self.parts]
+        return min(found, key=lambda x: (len(x), sum(c.isalpha() for g in x for c in g)), default=set())
+
     def holds(self, grams: set[str]) -> bool:
         if self.kind == "gram":
             return self.gram in grams
@@ -50,7 +59,14 @@ def disjunction(parts: list[Query]) -> Query:
     # what needs all that another part needs, and more, adds nothing
     needs = [set(p.parts) if p.kind == "all" else {p} for p in flat]
     flat = [p for p, n in zip(flat, needs, strict=True) if not any(m < n for m in needs)]
-    return flat[0] if len(flat) == 1 else Query("any", tuple(flat))
+    if len(flat) == 1:
+        return flat[0]
+    # what all parts need stands once before them
+    common = [q for q in (flat[0].parts if flat[0].kind == "all" else (flat[0],)) if all(q in (p.parts if p.kind == "all" else (p,)) for p in flat)]
+    if common:
+        rest = [Query("all", tuple(q for q in p.parts if q not in common)) for p in flat]
+        return conjunction(*common, disjunction(rest))
+    return Query("any", tuple(flat))
 
 
 def of_strings(strings: set[str]) -> Query:
@@ -58,6 +74,16 @@ def of_strings(strings: set[str]) -> Query:
     return disjunction([conjunction(*(Query("gram", gram=s[i : i + 3]) for i in range(len(s) - 2))) for s in sorted(strings)])
 
 
+def thin(q: Query) -> Query:
+    """Of many trigrams that are all needed the first and the last: those between are nearly always held with them."""
+    if q.kind == "gram":
+        return q
+    if q.kind == "any":
+        return disjunction([thin(p) for p in q.parts])
+    grams = [p for p in q.parts if p.kind == "gram"]
+    return conjunction(*(p if p.kind == "gram" else thin(p) for p in q.parts if p.kind != "gram" or p in (grams[0], grams[-1])))
+
+
 def derive(pattern: str) -> Query:
     """What every lower-cased text with a match of the pattern satisfies; TRUE if nothing is mandatory."""
 
@@ -115,4 +141,4 @@ def derive(pattern: str) -> Query:
                 parts.append(query(arg[2]))
         return conjunction(*parts, of_strings(run))
 
-    return query(P.parse(pattern, re.ASCII))
+    return thin(query(P.parse(pattern, re.ASCII)))

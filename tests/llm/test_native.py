@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from pagelake.llm import chat, quality, secrets, trigrams
+from pagelake.llm import chat, folds, quality, secrets, trigrams
 from pagelake.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -188,8 +188,11 @@ def test_secrets_on_odd_rows(spark, odd_docs, no_docs):
     docs = odd_docs.unionByName(extra, allowMissingColumns=True)
     assert Counter(map(tuple, secrets.reports(docs).collect())) == Counter(brute_report(r.doc_id, r.text) for r in docs.collect())
     assert secrets.reports(no_docs).collect() == []
+    assert Counter(map(tuple, secrets.reports(docs, few=0).collect())) == Counter(map(tuple, secrets.reports(docs).collect()))
+    docs = docs.select("*", *(F.lit(i).alias(c) for i, c in enumerate(("rules", "row", "__row", "__t", "__s", "__m0", "__salt", "__low"))))
     out = secrets.redacted(docs)
     assert out.columns == docs.columns
+    assert {tuple(r[c] for c in docs.columns[-8:]) for r in out.collect()} == {tuple(range(8))}
 
     def clean(text):
         done, to = "", 0
@@ -197,8 +200,9 @@ def test_secrets_on_odd_rows(spark, odd_docs, no_docs):
             if a >= to:
                 done += text[to:a] + "[SECRET]"
             to = max(to, b)
-        return done + (text or "")[to:]
+        return None if text is None else done + text[to:]
 
+    assert Counter((r.doc_id, r.text) for r in secrets.redacted(docs, few=0).collect()) == Counter((r.doc_id, clean(r.text)) for r in docs.collect())
     assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter((r.doc_id, clean(r.text)) for r in docs.collect())
 
 
@@ -223,9 +227,9 @@ def test_rules_without_mandatory_trigrams_scan_fully():
 def brute_chat(rows):
     by = defaultdict(list)
     for r in rows:
-        by[r.conv_id].append((r.turn is not None, r.turn or 0, r.role or "", r.text or ""))
+        by[(r.conv_id, None if r.conv_id is not None else len(by))].append((r.turn is not None, r.turn or 0, r.role or "", r.text or ""))
     out = set()
-    for c, turns in by.items():
+    for (c, _), turns in by.items():
         turns.sort()
         loss = "".join(t[3] for t in turns if t[2] == "assistant")
         out.add((c, len(turns), sha("".join(f"{t[2]}\n{t[3]}\n" for t in turns)), len(loss), sha(loss)))
@@ -243,14 +247,54 @@ def test_op10_equals_brute_force(spark):
 ODD_TURNS = [
     (1, 0, "user", "<|end|>\n<|role|>x"), (1, 1, "user", "<|turn|><\\[\\"), (1, 2, "assistant", "a<\\<[[\\"), (1, 3, "assistant", None), (1, 3, "assistant", None),
     (2, None, "system", "s"), (2, 5, None, "no role"), (2, 5, None, "\\n[n"), (2, 6, "a<|end|>\n[nb\nc", "odd role"), (2, 7, "assistant", "🙂 x"),
-    (None, 1, "assistant", "</s>[INST] ok [/INST]"), (3, 1, "assistant", ""),
+    (None, 1, "assistant", "</s>[INST] ok [/INST]"), (None, 2, "user", "another"), (3, 1, "assistant", ""),
 ]
 
 
+def brute_format(turns):
+    """The template written out: a block for each run of one role."""
+
+    def escape(x):
+        return x.replace("<", "<\\").replace("[", "[\\")
+
+    out = ""
+    for i, (_, _, role, text) in enumerate(turns):
+        first, last = i == 0 or turns[i - 1][2] != role, i + 1 == len(turns) or turns[i + 1][2] != role
+        out += "<|role|>" + escape(role).replace("\n", "[n") + "\n" if first else "<|turn|>"
+        out += escape(text) + ("<|end|>\n" if last else "")
+    return out
+
+
+def test_formatted_texts_equal_brute_force(spark):
+    rows = spark.createDataFrame([t for t in ODD_TURNS if t[0] is not None], "conv_id long, turn long, role string, text string")
+    by = defaultdict(list)
+    for r in rows.collect():
+        by[r.conv_id].append((r.turn is not None, r.turn or 0, r.role or "", r.text or ""))
+    want = {c: brute_format(sorted(t)) for c, t in by.items()}
+    assert {r.conv_id: r.formatted for r in chat.format_turns(rows).collect()} == want
+    assert {r.conv_id: r.formatted_chars for r in chat.digests(rows).collect()} == {c: len(t) for c, t in want.items()}
+
+
+@pytest.mark.parametrize("step", ["{a} + {x}", "greatest({a}, {x})"])
+def test_folds_in_runs(spark, step):
+    rnd = random.Random(2)
+    lists = [[rnd.randint(-9, 99) for _ in range(n)] for n in (0, 1, 2, 255, 256, 257, 5000)]
+    got = spark.createDataFrame([(x,) for x in lists], "v0 array<bigint>").selectExpr("v0", f"{folds.before('v0', step)} as f").collect()
+    for r in got:
+        now, want = 0, []
+        for x in r.v0:
+            want.append(now)
+            now = now + x if "+" in step else max(now, x)
+        assert r.f == want
+    text = "".join(rnd.choice("aé🙂\n") for _ in range(13_000))
+    for a, b in ((0, 0), (5, 5), (0, 13_000), (4095, 4097), (4096, 8192), (1, 12_999), (8191, 8192)):
+        assert spark.createDataFrame([(text,)], "t string").selectExpr(folds.let(folds.blocks("t"), "bs", folds.cut("bs", str(a), str(b)))).first()[0] == text[a:b]
+
+
 def test_chat_on_odd_rows(spark):
     rows = spark.createDataFrame([(*t, "z") for t in ODD_TURNS], "conv_id long, turn long, role string, text string, formatted string")
     got = chat.digests(rows).collect()
     assert {tuple(r)[:5] for r in got} == brute_chat(rows.collect())
-    shown = {r.conv_id: r.formatted for r in chat.format_turns(rows).collect()}
+    shown = {r.conv_id: r.formatted for r in chat.format_turns(rows.where("text <> 'another' or text is null")).collect()}
     assert shown[1].count(chat.OPEN) == 2 and shown[1].count(chat.NEXT) == 3 and "</s>" not in shown[None] and "[INST]" not in shown[None]
     assert chat.digests(rows.limit(0)).collect() == []
