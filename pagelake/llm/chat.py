@@ -7,9 +7,11 @@ end in a name is written [n. In names and texts, every "<" and "[" gets a backsl
 of one that writes <s>, </s>, [INST], [/INST] or <<SYS>>, can then come from a text, and taking the
 backslash away again behind each "<" and "[" gives the text back, whatever it held.
 
-Nulls: a null text or role is empty; a null turn sorts first; rows of a null conversation are one
-conversation. Turns of one number are sorted by role, then text; a repeated row is a turn of its
-own. A conversation is one output row, as its text is one value; turns are combined by a sort.
+Nulls: a null text or role is empty; a null turn sorts first; a row of a null conversation is a
+conversation of its own, as nothing says that it belongs with others. Turns of one number are sorted
+by role, then text; a repeated row is a turn of its own. An empty table gives no rows. Texts and
+conversations of any length are taken whole, in time in proportion; a conversation is one output row,
+as its text is one value. Only the four named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagelake.llm import folds
+
 OPEN, SHUT, END, NEXT = "<|role|>", "\n", "<|end|>\n", "<|turn|>"
 LEARN = "assistant"
 
@@ -32,7 +36,9 @@ def unescape(c: Column) -> Column:
 def format_turns(rows: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conversation, formatted, mask): mask holds (start, length) in code points of what is learned."""
     one = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sorted_ = rows.select(F.col(conversation).alias("c"), one.alias("t")).groupBy("c").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    turns = rows.select(F.col(conversation).alias("c"), one.alias("t"))
+    sorted_ = turns.where("c is not null").groupBy("c").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    sorted_ = sorted_.unionByName(turns.where("c is null").select("c", F.array("t").alias("t")))
 
     def piece(t: Column, i: Column) -> Column:
         """What a turn adds: a block's head or a separator, its text, and the end of its block."""
@@ -49,16 +55,9 @@ def format_turns(rows: DataFrame, conversation: str = "conv_id", turn: str = "tu
     pieces = sorted_.select("c", F.transform("t", piece).alias("p"))
     formatted = F.concat_ws("", F.flatten(F.transform("p", lambda p: F.array(p["head"], p["body"], p["tail"]))))
 
-    def step(state: Column, p: Column) -> Column:
-        start = state["at"] + F.length(p["head"])
-        size = F.length(p["body"])
-        return F.struct(
-            (start + size + F.length(p["tail"])).cast("int").alias("at"),
-            F.when(p["learn"], F.concat(state["mask"], F.array(F.struct(start.cast("int").alias("start"), size.cast("int").alias("length"))))).otherwise(state["mask"]).alias("mask"),
-        )
-
-    empty = F.struct(F.lit(0).cast("int").alias("at"), F.expr("cast(array() as array<struct<start:int,length:int>>)").alias("mask"))
-    return pieces.select(F.col("c").alias(conversation), formatted.alias("formatted"), F.aggregate("p", empty, step)["mask"].alias("mask"))
+    sizes = "transform(p, x -> cast(length(x.head) + length(x.body) + length(x.tail) as bigint))"
+    spans = "transform(filter(transform(p, (x, j) -> struct(cast(at[j] + length(x.head) as int) as start, length(x.body) as length, x.learn as learn)), x -> x.learn), x -> struct(x.start as start, x.length as length))"
+    return pieces.select(F.col("c").alias(conversation), formatted.alias("formatted"), F.expr(folds.let(folds.before(sizes), "at", spans)).alias("mask"))
 
 
 def read_turns(formatted: DataFrame, keep: list[str]) -> DataFrame:
@@ -77,8 +76,8 @@ def read_turns(formatted: DataFrame, keep: list[str]) -> DataFrame:
 
 def learned(formatted: DataFrame, keep: list[str]) -> DataFrame:
     """The kept columns and learned: the unescaped texts under the mask, in order."""
-    cut = F.transform("mask", lambda m: unescape(F.substring(F.col("formatted"), m["start"] + 1, m["length"])))
-    return formatted.select(*keep, cut.alias("learned"))
+    cut = F.expr(folds.let(folds.blocks("formatted"), "bs", f"transform(mask, x -> {folds.cut('bs', 'x.start', 'x.start + x.length')})"))
+    return formatted.select(*keep, F.transform(cut, unescape).alias("learned"))
 
 
 def digests(rows: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
