@@ -152,9 +152,11 @@ def fit(votes: DataFrame, names: list[str], rounds: int = ROUNDS) -> Model:
     return model
 
 
-def judge(docs: DataFrame, text: str = "text") -> DataFrame:
-    """row (the input's, in one struct), __m, __failed (the base rule), __good (posterior) and __keep."""
-    rows = staged(measure(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")), f"row.`{text}`", ["row"]), "measured")
+def judge(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """row (the input's columns, or those named, in one struct), __m, __failed (the base rule), __good
+    (posterior) and __keep."""
+    row = F.struct(*(F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)))
+    rows = staged(measure(docs.select(row.alias("row"), F.col(f"`{text}`").alias("text")), "text", ["row"]), "measured")
     votes = rules()
     model = fit(rows.select(*(v.alias(k) for k, v in votes.items())), list(votes))
     rows = rows.select("*", base_failed().alias("__failed"), model.posterior(votes).alias("__good"))
@@ -165,7 +167,7 @@ def scores(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Da
     """id, the base counts, base_failed, kept and the posterior of every row."""
     m = F.col("__m")
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    rows = judge(docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))).select("row.id", "__m", "__failed", "__keep", "__good")
+    rows = judge(docs.select(F.col(id_column).alias("id"), F.col(text).alias("text")), carry=["id"]).select("row.id", "__m", "__failed", "__keep", "__good")
     return rows.select(F.col("id").alias(id_column), *(m[c].alias(c) for c in counts), F.col("__failed").alias("base_failed"), F.col("__keep").alias("kept"), F.col("__good").alias("posterior"))
 
 
