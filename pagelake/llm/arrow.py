@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +28,15 @@ def partition() -> int:
     return context.partitionId() if context else 0
 
 
+def sliced(batch: pa.RecordBatch, text: int, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with so many bytes of the text column at most, but for one longer text."""
+    widths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    cuts = np.flatnonzero(np.diff(np.cumsum(widths, dtype=np.int64) // size)) + 1
+    for a, b in itertools.pairwise([0, *cuts.tolist(), batch.num_rows]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def map_rows(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterable[tuple]], schema: str | StructType) -> DataFrame:
     """make: a partition's batches to tuples of the schema. Tuples leave in small batches."""
     kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema

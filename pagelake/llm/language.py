@@ -9,8 +9,14 @@ A bit's classifier is linear: the log ratio of an n-gram's rate in the languages
 and in the others, each language weighing the same. Rates come from counts over all training rows,
 added up in each task and then by Spark: BUCKETS numbers a language, however large the corpus.
 
-A text that is null or has no letter is "und" with score 0, as are all texts when nothing was
-learned. Rows with a null id are predicted, but not learned from. Repeated rows count each.
+At most LANGUAGES values are learned, the most frequent ones (ties: the smaller value); a label column
+with more holds something else than languages.
+
+A text that is null or has no letter (Unicode category L) is "und" with score 0, as are all texts when
+nothing was learned. Rows with a null id are predicted, but not learned from. Repeated rows count each
+and are predicted alike. Of languages of equal loss the first by name is taken, and the text is flagged
+as ambiguous. An empty table gives no rows. Texts of any length are taken whole. Only the id, the text
+and the labels are read, so further columns may have any name.
 """
 
 from __future__ import annotations
@@ -34,7 +40,12 @@ LENGTH = 31
 SMOOTH = 0.5
 #: Loss of the second best over the best, under which a text is ambiguous.
 CLEAR = 1.15
-LETTER = re.compile(r"[^\W\d_]")
+#: Label values that are learned at most.
+LANGUAGES = 128
+#: N-grams whose weights are added up at once.
+SLICE = 1 << 16
+#: What may be a letter; numbers such as superscripts match too.
+_WORD = re.compile(r"[^\W\d_]")
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
@@ -70,25 +81,38 @@ def codewords(classes: int) -> np.ndarray:
 def train(docs: DataFrame, lang: str = "lang", text: str = "text") -> tuple[list[str], np.ndarray]:
     """Languages, and a weight for each bucket and bit, from all rows with both columns."""
 
+    rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
+    names = sorted(r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
+    place = {name: i for i, name in enumerate(names)}
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        sums: dict[str, np.ndarray] = {}
+        sums = np.zeros((len(place), BUCKETS), np.int64)
         for batch in batches:
             for name, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                into = sums.setdefault(name, np.zeros(BUCKETS, np.int64))
-                into += np.bincount(grams(t.as_py().encode()), minlength=BUCKETS)
-        for name, into in sums.items():
-            for b in np.flatnonzero(into).tolist():
-                yield name, b, int(into[b])
+                if (k := place.get(name)) is not None:
+                    sums[k] += np.bincount(grams(t.as_py().encode()), minlength=BUCKETS)
+        for k, b in np.argwhere(sums).tolist():
+            yield k, b, int(sums[k, b])
 
-    rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
     # a row for each language and bucket at most
-    counts = map_rows(rows, count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    names = sorted(counts["lang"].unique())
+    counts = map_rows(rows, count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     table = np.full((len(names), BUCKETS), SMOOTH)
-    np.add.at(table, (np.searchsorted(np.array(names, object), counts["lang"].to_numpy()) if names else np.zeros(0, int), counts["bucket"].to_numpy(int)), counts["n"].to_numpy(float))
+    table[counts["lang"].to_numpy(int), counts["bucket"].to_numpy(int)] += counts["n"].to_numpy(float)
     return names, weights(table)
 
 
+def has_letter(text: str) -> bool:
+    return any(m.group().isalpha() for m in _WORD.finditer(text))
+
+
+def margins(got: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Mean weight of the n-grams for each bit."""
+    total = np.zeros(table.shape[1])
+    for i in range(0, len(got), SLICE):
+        total += table[got[i : i + SLICE]].sum(axis=0, dtype=float)
+    return total / len(got)
+
+
 def weights(table: np.ndarray) -> np.ndarray:
     """A weight for each bucket and bit, from the counts of each language's n-grams."""
     words = codewords(len(table))
@@ -99,9 +123,9 @@ def weights(table: np.ndarray) -> np.ndarray:
     return out
 
 
-def decode(margins: np.ndarray, words: np.ndarray) -> tuple[int, float, bool]:
+def decode(told: np.ndarray, words: np.ndarray) -> tuple[int, float, bool]:
     """Nearest codeword by exponential loss, its share of all words' inverse losses, and if it is ambiguous."""
-    loss = np.exp(-4 * words * margins).mean(axis=1)
+    loss = np.exp(-4 * words * told).mean(axis=1)
     best = int(loss.argmin())
     near = 1 / loss**2
     rest = np.delete(loss, best)
@@ -119,12 +143,10 @@ def predict(docs: DataFrame, names: list[str], table: np.ndarray, id_column: str
             for *row, t in zip(*batch.columns, strict=True):
                 row = [x.as_py() for x in row]
                 s = t.as_py()
-                if not names or s is None or not LETTER.search(s):
+                if not names or s is None or not has_letter(s):
                     yield *row, "und", 0.0, True
                     continue
-                got = grams(s.encode())
-                margins = np.bincount(got, minlength=BUCKETS).astype(np.float32) @ model.value / len(got) if len(got) > 20_000 else model.value[got].mean(axis=0)
-                best, score, ambiguous = decode(margins, words)
+                best, score, ambiguous = decode(margins(grams(s.encode()), model.value), words)
                 yield *row, names[best], score, ambiguous
 
     return map_rows(docs.select(id_column, *keep, text), run, f"{fields}, lang_pred string, score double, ambiguous boolean")

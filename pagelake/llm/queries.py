@@ -30,7 +30,7 @@ def op2_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_debruijn_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = substrings.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = substrings.deduplicate(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 

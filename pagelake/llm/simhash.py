@@ -8,7 +8,9 @@ between two fingerprints of one run is a path of verified links in it.
 
 A text without words (null, empty, white space only) has fingerprint zero and links like any
 other. Repeated rows share a fingerprint. A null doc_id is kept, and its component is the
-smallest doc_id reached, if there is one.
+smallest doc_id reached, if there is one; of ties the smallest id names the component. An empty
+table gives no rows. Texts of any length are taken whole. Only the id and the text are read, or the
+row is carried in one struct, so further columns may have any name.
 """
 
 from __future__ import annotations
@@ -130,12 +132,33 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return map_rows(dealt, signed, "a long, b long")
 
 
+def _roots(nodes: DataFrame, distance: int) -> DataFrame:
+    """(fp, least, root) of distinct fingerprints: equal roots are linked."""
+    roots = components(links(nodes.select("fp"), distance))
+    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """(id, fingerprint, component_id) of every row."""
     rows = staged(fingerprints(docs, id_column, text_column, shingle), "fingerprints")
     nodes = staged(rows.groupBy("fp").agg(F.min(id_column).alias("least")), "nodes")
-    roots = components(links(nodes.select("fp"), distance))
-    of = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    of = staged(of, "roots")
+    of = staged(_roots(nodes, distance), "roots")
     named = of.join(of.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return rows.join(named, "fp").select(id_column, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
+    """One row of docs, as it is, for each group of linked texts: the one of smallest id (null last).
+
+    Rows are told apart by a hash of id and text, so two texts of one id are judged each by its own
+    group. Of equal rows one stays (of rows that differ in other columns alone, the smallest)."""
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    row = row.withColumn("h", F.xxhash64(F.col(f"row.`{id_column}`").cast("string"), F.lit("\x1f"), F.col(f"row.`{text_column}`")))
+    told = fingerprints(row.select(F.struct(F.col(f"row.`{id_column}`").alias("id"), "h").alias("key"), F.col(f"row.`{text_column}`").alias("text")), "key", "text", shingle)
+    told = staged(told.groupBy("key", "fp").agg(F.count("*").alias("n")), "fingerprints")
+    order = F.struct(F.col("key.id").isNull().alias("none"), F.col("key.id").alias("id"), F.col("key.h").alias("h"), "n")
+    nodes = staged(told.groupBy("fp").agg(F.min(order).alias("least")), "nodes")
+    first = staged(_roots(nodes, distance).groupBy("root").agg(F.min("least").alias("least")).select("least.h", "least.n"), "representatives")
+    once = row.join(first.where("n = 1").select("h"), "h", "left_semi").select("row")
+    again = row.join(first.where("n > 1").select("h"), "h", "left_semi").groupBy("h").agg(F.min("row").alias("row")).select("row")
+    return once.unionByName(again).select("row.*")

@@ -16,21 +16,25 @@ one of them alone goes on for the others, so a passage that a third of all texts
 joining task a few times for each task, not once for each text.
 
 Words are [^\\x20\\x09-\\x0D]+, unchanged. A null or empty text has no words. A repeated row counts as
-another document, and a null id is kept. Further columns stay as they are.
+another document, and a null id is kept; all occurrences of a passage are treated alike, so there are
+no ties. An empty table gives no rows. Texts of any length are taken whole, one at a time. Further
+columns stay as they are, whatever their names: the row is carried in one struct.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from pagelake.llm.arrow import map_rows
+from pagelake.llm.arrow import map_rows, sliced
 from pagelake.session import staged
 
 WINDOW = 35
@@ -206,8 +210,10 @@ def _judged(rows: DataFrame) -> DataFrame:
     return map_rows(dealt, run, "row long, place long, kind byte")
 
 
-def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    return docs.withColumn(KEY, F.xxhash64(F.col(id_column).cast("string"), F.lit("\x1f"), F.col(text_column)))
+def _keyed(docs: DataFrame, id_column: str, text_column: str, *carried: Column) -> DataFrame:
+    """KEY and __text, and what else is carried."""
+    key = F.xxhash64(F.col(f"`{id_column}`").cast("string"), F.lit("\x1f"), F.col(f"`{text_column}`"))
+    return docs.select(key.alias(KEY), F.col(f"`{text_column}`").alias("__text"), *carried)
 
 
 def _places(rows: DataFrame) -> DataFrame:
@@ -217,7 +223,7 @@ def _places(rows: DataFrame) -> DataFrame:
 
 def repeated(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(row, place): edges check << 40 | first << 8 | count of a row that occur elsewhere too."""
-    texts = _keyed(docs, id_column, text_column).select(KEY, text_column)
+    texts = _keyed(docs, id_column, text_column)
 
     def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         pool = _Pool()
@@ -245,7 +251,7 @@ def repeated(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, id_column:
         yield from pool.flush()
 
     branches = _places(judged.where(F.col("kind") != REPEATED))
-    met = _judged(map_rows(texts.join(branches, KEY).select(KEY, text_column, "__places"), edges, _ROWS))
+    met = _judged(map_rows(texts.join(branches, KEY).select(KEY, "__text", "__places"), edges, _ROWS))
     met = met.where(F.col("kind") == REPEATED)
     return judged.where(F.col("kind") == REPEATED).unionByName(met).select("row", "place")
 
@@ -259,30 +265,42 @@ def covered(n: int, places: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
-def deduplicate(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, id_column: str = "doc_id", text_column: str = "text", *, untouched: bool = False) -> DataFrame:
-    """The rows with n_words, n_removed and, as text, the kept words joined by one space.
-
-    untouched: a text of which nothing is removed stays as it is, with its white space (or null)."""
+def _removed(docs: DataFrame, window: int, kmer: int, id_column: str, text_column: str, untouched: bool) -> DataFrame:
+    """row (the input's, in one struct), text, n_words, n_removed."""
     if not kmer <= window <= kmer + 200:
         raise ValueError("a path's edges must fit its place")
     marks = _places(repeated(docs, window, kmer, id_column, text_column))
-    names = [c for c in docs.columns if c not in ("n_words", "n_removed")]
-    fields = [f if f.name != text_column else StructField(text_column, StringType()) for f in docs.schema if f.name in names]
-    schema = StructType([*fields, StructField("n_words", LongType()), StructField("n_removed", LongType())])
-    at = names.index(text_column)
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_column)).alias("row")
+    joined = _keyed(docs, id_column, text_column, rest).join(marks, KEY, "left").select("row", "__text", "__places")
+    schema = StructType([joined.schema["row"], StructField("text", StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType())])
+    arrow = to_arrow_schema(schema)
 
-    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for *row, places in zip(*batch.columns, strict=True):
-                row = [x.as_py() for x in row]
-                t = Text(row[at])
-                words, gone = t.words, np.zeros(t.n, bool)
-                if places.is_valid:
-                    gone = covered(t.n, t.own(np.array(places.as_py(), np.int64)), window)
-                    words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                if not untouched or gone.any():
-                    row[at] = b" ".join(words).decode()
-                yield *row, len(gone), int(gone.sum())
-
-    joined = _keyed(docs.select(*names), id_column, text_column).join(marks, KEY, "left")
-    return map_rows(joined.select(*names, "__places"), remove, schema)
+            for part in sliced(batch, 1):
+                texts, words_, removed = [], [], []
+                for text, places in zip(part.column(1).to_pylist(), part.column(2), strict=True):
+                    t = Text(text)
+                    gone = covered(t.n, t.own(places.values.to_numpy()), window) if places.is_valid else np.zeros(t.n, bool)
+                    if not untouched or gone.any():
+                        text = b" ".join(itertools.compress(t.words, (~gone).tolist())).decode()
+                    texts.append(text)
+                    words_.append(t.n)
+                    removed.append(int(gone.sum()))
+                made = [pa.array(texts, arrow.field(1).type), pa.array(words_, pa.int64()), pa.array(removed, pa.int64())]
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(arrow.field(0).type), *made], schema=arrow)
+        pa.default_memory_pool().release_unused()
+
+    return joined.mapInArrow(remove, schema)
+
+
+def deduplicate(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """id, n_words, n_removed and, as text, the kept words joined by one space, of every row."""
+    rows = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").alias("text"))
+    return _removed(rows, window, kmer, "id", "text", False).select(F.col("row.id").alias(id_column), "n_words", "n_removed", "text")
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of docs; texts of which nothing is removed stay as they are, with white space or null."""
+    rows = _removed(docs, window, kmer, id_column, text_column, True)
+    return rows.select(*(F.col("text").alias(c) if c == text_column else F.col(f"row.`{c}`") for c in docs.columns))

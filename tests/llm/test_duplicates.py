@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from pagelake.llm import components, simhash, substrings
 from pagelake.llm.queries import QUERIES
@@ -64,6 +65,19 @@ def test_near_duplicates_on_odd_rows(odd_docs, no_docs):
     assert simhash.near_duplicates(no_docs).collect() == []
 
 
+def test_representatives_drop_no_unique_text(spark, odd_docs, no_docs):
+    texts = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(8)]
+    rows = [(1, texts[0], 5), (1, texts[1], 6), (2, texts[0], 7), (None, texts[2], 8), (None, texts[2], 8), (None, texts[3], 9), (3, texts[3], 9), (4, texts[4], 1), (4, texts[4], 1), (4, texts[4], 0), (0, texts[1], 2), (None, None, 3), (9, " ", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h long").select("*", *(F.lit(i).alias(c) for i, c in enumerate(("row", "key", "fp", "root", "least", "n"))))
+    got = sorted((tuple(r)[:3] for r in simhash.representatives(docs).collect()), key=str)
+    assert got == sorted([(1, texts[0], 5), (0, texts[1], 2), (None, texts[2], 8), (3, texts[3], 9), (4, texts[4], 0), (9, " ", 4)], key=str)
+    assert simhash.representatives(docs).columns == docs.columns
+    component = brute_components([((r.doc_id is None, r.doc_id or 0), brute_fingerprint(r.text)) for r in odd_docs.collect()])
+    kept = [(component[brute_fingerprint(r.text)], (r.doc_id is None, r.doc_id or 0)) for r in simhash.representatives(odd_docs).collect()]
+    assert sorted(c for c, _ in kept) == sorted(set(component.values())) and all(c == k for c, k in kept)
+    assert simhash.representatives(no_docs).collect() == []
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_links_connect_what_close_fingerprints_connect(spark, seed):
     rnd = random.Random(seed)
@@ -125,6 +139,10 @@ def test_substrings_on_odd_rows(odd_docs, no_docs):
     rows = odd_docs.collect()
     want = Counter((r.doc_id, *b) for r, b in zip(rows, brute_removal([r.text for r in rows], 5), strict=True))
     out = substrings.deduplicate(odd_docs, 5, 3)
-    assert set(odd_docs.columns) < set(out.columns)
+    clash = odd_docs.select("*", *(F.lit(i).alias(c) for i, c in enumerate(("row", "n_words", "n_removed", "__row", "__text", "__places"))))
+    kept = substrings.without_repeats(clash, 5, 3)
+    assert kept.columns == clash.columns
+    undone = Counter((*tuple(r)[:1], r.text if not b[1] else b[2], *tuple(r)[2:]) for r, b in zip(clash.collect(), brute_removal([r.text for r in rows], 5), strict=True))
+    assert Counter(map(tuple, kept.collect())) == undone
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.text) for r in out.collect()) == want
     assert substrings.deduplicate(no_docs).collect() == []

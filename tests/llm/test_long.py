@@ -56,7 +56,7 @@ def test_rows_of_one_key_are_told_apart(spark, monkeypatch):
     """Two texts whose keys collide don't share places."""
     from pyspark.sql import functions as F
 
-    monkeypatch.setattr(substrings, "_keyed", lambda df, *_: df.withColumn(substrings.KEY, F.lit(7).cast("long")))
+    monkeypatch.setattr(substrings, "_keyed", lambda df, _, t, *more: df.select(F.lit(7).cast("long").alias(substrings.KEY), F.col(t).alias("__text"), *more))
     texts = ["a b c d e f g", "x a b c d e y", "p q r s t u v w"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: (r.n_words, r.n_removed, r.text) for r in substrings.deduplicate(df, 5, 3).collect()}

@@ -1,5 +1,10 @@
 """Audio fingerprints, language codes and the pipeline."""
 
+import math
+import unicodedata
+import zlib
+from collections import Counter, defaultdict
+
 import numpy as np
 import pytest
 
@@ -91,6 +96,57 @@ def test_op9_held_out_accuracy(spark):
     assert sum(r.lang_pred == langs[r.doc_id] for r in held) >= 0.97 * len(held)
 
 
+def brute_language(rows):
+    """The same classifier, text by text and n-gram by n-gram."""
+    def buckets(text):
+        raw = bytes(b if 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in b" " + text.encode() + b" ")
+        return [((raw[i] | raw[i + 1] << 8 | raw[i + 2] << 16) * 2654435761 & 0xFFFFFFFF) >> (32 - language.BITS) for i in range(len(raw) - 2)]
+
+    fold = lambda k: None if k is None else zlib.crc32(str(k).encode()) % 5
+    counts = defaultdict(Counter)
+    for k, text, lang in rows:
+        if fold(k) and text is not None and lang is not None:
+            counts[lang].update(buckets(text))
+    names = sorted(counts)
+    words = language.codewords(len(names))
+    totals = {n: sum(counts[n].values()) + language.SMOOTH * language.BUCKETS for n in names}
+    weight = {}
+    out = []
+    for k, text, _ in rows:
+        if not names or text is None or not any(unicodedata.category(c)[0] == "L" for c in text):
+            out.append((k, fold(k) == 0, "und", 0.0))
+            continue
+        sums = [0.0] * words.shape[1]
+        got = buckets(text)
+        for b in got:
+            if b not in weight:
+                rate = [(counts[n][b] + language.SMOOTH) / totals[n] for n in names]
+                parts = [([r for r, w in zip(rate, words[:, j]) if w > 0], [r for r, w in zip(rate, words[:, j]) if w < 0]) for j in range(words.shape[1])]
+                weight[b] = [math.log(sum(x) / len(x) / (sum(y) / len(y))) if x and y else 0.0 for x, y in parts]
+            sums = [s + w for s, w in zip(sums, weight[b])]
+        loss = [sum(math.exp(-4 * w * s / len(got)) for w, s in zip(word, sums)) / len(sums) for word in words]
+        near = [1 / x**2 for x in loss]
+        best = loss.index(min(loss))
+        out.append((k, fold(k) == 0, names[best], near[best] / sum(near)))
+    return out
+
+
+def test_op9_equals_brute_force(spark, odd_docs):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) < 3000").unionByName(odd_docs, allowMissingColumns=True)
+    got = sorted(((r.doc_id, r.held_out, r.lang_pred, r.score) for r in language.identify(docs).collect()), key=str)
+    want = sorted(brute_language([(r.doc_id, r.text, r.lang) for r in docs.collect()]), key=str)
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert [g[3] for g in got] == pytest.approx([w[3] for w in want], rel=1e-4)
+
+
+def test_letters_and_label_values(spark, monkeypatch):
+    assert [language.has_letter(t) for t in ("²½Ⅷ", "_1 ٣", "٣a", "日", "", "ª")] == [False, False, True, True, False, True]
+    monkeypatch.setattr(language, "LANGUAGES", 2)
+    rows = [(i, "abc " * (i + 1), lang) for i, lang in enumerate(["a", "b", "a", "c", "b", "a"] * 5)]
+    names, table = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert names == ["a", "b"] and table.shape[0] == language.BUCKETS
+
+
 def test_held_out_rows_teach_nothing(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(200)
     from pyspark.sql import functions as F
