@@ -26,6 +26,8 @@ SPARK = {
     "bool": "boolean", "int2": "smallint", "int4": "int", "int8": "bigint", "float4": "float", "float8": "double", "bytea": "binary", "date": "date", "timestamp": "timestamp_ntz", "timestamptz": "timestamp",
 }
 SHORT = 126
+#: Stands for a long value whose chunks are unknown.
+UNRESOLVED = object()
 
 
 class SchemaDrift(FormatError):

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,14 +70,18 @@ def visible(pages: DataFrame, status: DataFrame, updaters: DataFrame | None = No
     return judged.withColumn("__n", rank).where("__n = 1").withColumn("offnum", F.col("root")).drop("__n", "root", "depth", "visible")
 
 
-def decode(rows: DataFrame, columns: list[Column]) -> DataFrame:
+def decode(rows: DataFrame, columns: list[Column], *, carry: bool = False) -> DataFrame:
     """Values of the live columns of tuple rows (infomask2, bitmap, attrs), which may have __chunks, a
     map of value id to stored bytes (with_chunks). Rows that can't be decoded have the reason in
-    decode_error and null values, to be routed aside."""
+    decode_error and null values, to be routed aside; so have rows without a tuple.
+
+    carry: long values whose chunks are unknown are no error but listed in unresolved, to be taken from
+    the version before (records.carried)."""
     live = [c for c in columns if not c.dropped]
     carried = [c for c in rows.columns if c not in ("bitmap", "attrs", "__chunks")]
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in carried)
-    schema = StructType.fromDDL(f"{fields}, {', '.join(f'{c.name} {_stored(c)}' for c in live)}, decode_error string")
+    more = ", unresolved array<string>" if carry else ""
+    schema = StructType.fromDDL(f"{fields}, {', '.join(f'{c.name} {_stored(c)}' for c in live)}, decode_error string{more}")
     chunks = [F.col("__chunks")] if "__chunks" in rows.columns else [F.lit(None).cast("map<bigint,binary>")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,12 +89,16 @@ def decode(rows: DataFrame, columns: list[Column]) -> DataFrame:
         for b in batches:
             out = []
             for r in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                stored = dict(r[-1] or ())
+                stored, got, error, missing = dict(r[-1] or ()), [None] * len(live), None, []
                 try:
-                    got, error = heap.decode_attrs(columns, r[i2] & heap.NATTS, r[-3], r[-2], lambda p, stored=stored: stored.get(p.value_id)), None
+                    if r[i2] is None or r[-2] is None:
+                        raise heap.FormatError("the tuple is unknown")
+                    got = heap.decode_attrs(columns, r[i2] & heap.NATTS, r[-3], r[-2], lambda p, stored=stored: stored.get(p.value_id), [heap.UNRESOLVED] * len(live) if carry else None)
+                    missing = [c.name for c, v in zip(live, got, strict=True) if v is heap.UNRESOLVED]
+                    got = [None if v is heap.UNRESOLVED else v for v in got]
                 except heap.FormatError as e:
-                    got, error = [None] * len(live), f"{type(e).__name__}: {e}"
-                out.append((*r[:-3], *got, error))
+                    error = f"{type(e).__name__}: {e}"
+                out.append((*r[:-3], *got, error, *([missing] if carry else [])))
             yield batch(out, schema)
 
     done = rows.select(*carried, "bitmap", "attrs", *chunks).mapInArrow(run, schema)
@@ -112,19 +119,31 @@ def _shown(c: Column):
 def build(rows: DataFrame, columns: list[Column]) -> DataFrame:
     """Pages of rows: rel, block, slot, xmin, xmax, and the live columns. Slots that no row has are unused.
 
-    A page is one block's tuples, so a group holds 8 KB at most."""
+    With a column kind, a slot may also be "dead", "redirect" (to the slot in target) or "raw" (the whole
+    tuple in raw); null is a row as without it. A page is one block's tuples, so a group holds 8 KB at most."""
     live = [c.name for c in columns if not c.dropped]
     rows = rows.withColumns({c.name: _unshown(c) for c in columns if not c.dropped and c.type in ("date", "timestamp", "timestamptz")})
+    schema = StructType.fromDDL("rel long, block long, page binary")
+
+    def slot(r: dict, block: int) -> tuple:
+        kind = r.get("kind") or "row"
+        if kind == "redirect":
+            return kind, r["target"]
+        if kind == "raw":
+            return "tuple", r["raw"]
+        if kind != "row":
+            return (kind,)
+        return "tuple", heap.make_tuple(columns, [r[c] for c in live], r["xmin"], r["xmax"], (block, r["slot"]))
 
-    def make(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        slots: dict[int, tuple] = {}
-        for r in group.to_dict("records"):
-            row = [None if _null(r[c]) else r[c] for c in live]
-            slots[int(r["slot"])] = ("tuple", heap.make_tuple(columns, row, int(r["xmin"]), int(r["xmax"]), (int(key[1]), int(r["slot"]))))
-        page = heap.build_page([slots.get(i, ("unused",)) for i in range(1, max(slots) + 1)], int(key[1]), int(group["xmin"].max()))
-        return pd.DataFrame({"rel": [key[0]], "block": [key[1]], "page": [page]})
+    def make(key: tuple, group: pa.Table) -> pa.Table:
+        rel, block = (k.as_py() for k in key)
+        found = group.to_pylist()
+        slots = {r["slot"]: slot(r, block) for r in found}
+        lsn = max((r["xmin"] or 0) for r in found)
+        page = heap.build_page([slots.get(i, ("unused",)) for i in range(1, max(slots) + 1)], block, lsn)
+        return pa.Table.from_batches([batch([(rel, block, page)], schema)])
 
-    return rows.groupBy("rel", "block").applyInPandas(make, "rel long, block long, page binary")
+    return rows.groupBy("rel", "block").applyInArrow(make, schema)
 
 
 def _unshown(c: Column):
@@ -133,10 +152,6 @@ def _unshown(c: Column):
     return F.unix_micros(F.col(c.name).cast("timestamp"))
 
 
-def _null(v: object) -> bool:
-    return v is None or v is pd.NA or isinstance(v, float) and v != v
-
-
 def verified(pages: DataFrame) -> DataFrame:
     """stored and computed checksum of each page (block, page), and if they agree."""
     schema = StructType.fromDDL(f"{_carried(pages)}, stored int, computed int, valid boolean")

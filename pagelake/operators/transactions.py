@@ -43,18 +43,22 @@ def sequenced(ops: DataFrame, table: str | None = None) -> DataFrame:
 def emitted(ops: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Log rows of sequenced operations: an update is its new version, a delete a tombstone of the old row.
 
-    With keys, an update that changes its key (old_<key> columns) also gives a tombstone of the old
-    key just before it; a delete without its old row (all keys null) gives nothing."""
+    With keys, an update that changes its key (old_<key> columns, all null where the old row is unknown)
+    also gives a tombstone of the old key just before it; a delete without its old row (all keys null)
+    gives nothing. Without old_<key> columns keys are taken not to change."""
     rows = ops.withColumn("_deleted", F.col("op") == "delete")
     if not keys:
         return rows
-    known = F.lit(False)
-    moved = F.lit(False)
+    known, old_known, moved = F.lit(False), F.lit(False), F.lit(False)
     for k in keys:
         known = known | F.col(k).isNotNull()
-        moved = moved | ~F.col(k).eqNullSafe(F.col(f"old_{k}"))
+        if f"old_{k}" in ops.columns:
+            old_known = old_known | F.col(f"old_{k}").isNotNull()
+            moved = moved | ~F.col(k).eqNullSafe(F.col(f"old_{k}"))
+    if not all(f"old_{k}" in ops.columns for k in keys):
+        return rows.where(~F.col("_deleted") | known)
     rows = rows.where(~F.col("_deleted") | known).withColumn("_seq", F.col("_seq") * 2 + 1)
-    old = rows.where((F.col("op") == "update") & moved).withColumns({**{k: F.col(f"old_{k}") for k in keys}, "_deleted": F.lit(True), "_seq": F.col("_seq") - 1})
+    old = rows.where((F.col("op") == "update") & moved & old_known).withColumns({**{k: F.col(f"old_{k}") for k in keys}, "_deleted": F.lit(True), "_seq": F.col("_seq") - 1})
     return rows.unionByName(old)
 
 
@@ -82,8 +86,9 @@ def parents(ops: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
     ops: version, table, lsn, pos, op, ctid (what it creates), old_ctid (what it replaces). A version's
     parent is the newest earlier creator of its old address. Aborted operations must be gone before."""
-    makes = ops.where("op <> 'delete'").select("table", F.col("ctid").alias("at"), "lsn", "pos", F.col("version").alias("made"), F.lit(None).cast("long").alias("asks"))
-    looks = ops.where("old_ctid is not null").select("table", F.col("old_ctid").alias("at"), "lsn", "pos", F.lit(None).cast("long").alias("made"), F.col("version").alias("asks"))
+    kind = ops.schema["version"].dataType
+    makes = ops.where("op <> 'delete'").select("table", F.col("ctid").alias("at"), "lsn", "pos", F.col("version").alias("made"), F.lit(None).cast(kind).alias("asks"))
+    looks = ops.where("old_ctid is not null").select("table", F.col("old_ctid").alias("at"), "lsn", "pos", F.lit(None).cast(kind).alias("made"), F.col("version").alias("asks"))
     before = Window.partitionBy("table", "at").orderBy("lsn", "pos", F.col("made").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
     found = makes.unionByName(looks).withColumn("parent", F.last("made", ignorenulls=True).over(before)).where("asks is not null")
     return ops.join(found.select(F.col("asks").alias("version"), "parent"), "version", "left")

@@ -59,8 +59,7 @@ _STATE = f"""select o_custkey, o_orderpriority from (select * from ({SQL_ORDERS}
 
 
 @register("current_state", _STATE)
-@register("current_state_orders", _STATE)
-def current_state_orders(spark: SparkSession, sf: str) -> DataFrame:
+def current_state(spark: SparkSession, sf: str) -> DataFrame:
     return changelog.current_state(cl_orders(spark, sf), ["o_custkey"])
 
 
@@ -244,42 +243,32 @@ def preimage_chains(spark: SparkSession, sf: str) -> DataFrame:
 # --- time travel ---------------------------------------------------------------------------------
 
 
-def all_fragments(spark: SparkSession, sf: str) -> DataFrame:
+def fragments(spark: SparkSession, sf: str) -> DataFrame:
     """Order lines as fragments: relation by line number, ten blocks and more from the part, at the order's position."""
     start = F.col("l_partkey") % 500
     return table(spark, sf, "lineitem").select(F.col("l_linenumber").cast("long").alias("rel"), start.alias("start"), (start + 10 + F.col("l_suppkey") % 5).alias("end"), (F.col("l_orderkey") * 10).alias("lsn"))
 
 
-def fragments(spark: SparkSession, sf: str) -> DataFrame:
-    """Each seventh order's; the queries named _whole take all."""
-    return all_fragments(spark, sf).where("lsn % 70 = 0")
-
-
-def all_requests(spark: SparkSession, sf: str) -> DataFrame:
+def requests(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     return e.select(F.col("event_id").alias("request"), (F.col("user_id") % 8).alias("rel"), (F.col("event_id") % 520).alias("block"), (F.col("event_id") * 7 % 15_000 * 10).alias("read_lsn"))
 
 
-def requests(spark: SparkSession, sf: str) -> DataFrame:
-    """Each fifth event's; the queries named _whole take all."""
-    return all_requests(spark, sf).where("request % 5 = 0")
-
-
-def all_ranges(spark: SparkSession, sf: str) -> DataFrame:
+def ranges(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as ranges of up to five blocks."""
     start = F.col("o_custkey") % 500
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("range"), (F.col("o_orderkey") % 8).alias("rel"), start.alias("start"), (start + F.col("o_orderkey") % 6).alias("end"))
 
 
-SQL_TRAVEL = """fragments as (select l_linenumber::bigint as rel, l_partkey % 500 as s, l_partkey % 500 + 10 + l_suppkey % 5 as e, l_orderkey * 10 as lsn from lineitem where (l_orderkey * 10) % 70 = 0),
-requests as (select event_id as request, user_id % 8 as rel, event_id % 520 as block, event_id * 7 % 15000 * 10 as read_lsn from events where event_id % 5 = 0)"""
-
-
 def _sql_resolve(requests: str, fragments: str, floor: int) -> str:
     return f"""(select request, rel, block, read_lsn, case when outcome = 'serve' then b end as base, outcome, n > 0 as covered, b as any_base from (select *, case when b = read_lsn or b >= {floor} then 'serve' when n > 0 then 'below_horizon' else 'uncovered' end as outcome
     from (select r.request, r.rel, r.block, r.read_lsn, max(case when f.lsn <= r.read_lsn then f.lsn end) as b, count(f.lsn) as n from {requests} r left join {fragments} f on r.rel = f.rel and r.block >= f.s and r.block < f.e group by all)))"""
 
 
+SQL_TRAVEL = """fragments as (select l_linenumber::bigint as rel, l_partkey % 500 as s, l_partkey % 500 + 10 + l_suppkey % 5 as e, l_orderkey * 10 as lsn from lineitem),
+requests as (select event_id as request, user_id % 8 as rel, event_id % 520 as block, event_id * 7 % 15000 * 10 as read_lsn from events)"""
+
+
 @register("timetravel_resolve", f"with {SQL_TRAVEL} select request, rel, block, read_lsn, base, outcome from {_sql_resolve('requests', 'fragments', 50_000)}")
 def timetravel_resolve(spark: SparkSession, sf: str) -> DataFrame:
     return timetravel.resolve(requests(spark, sf), fragments(spark, sf), 50_000, bucket=64)
@@ -300,50 +289,14 @@ def branch_resolve(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(
     "gc_redundant",
-    f"""with {SQL_TRAVEL}, ranges as (select o_orderkey as range, o_orderkey % 8 as rel, o_custkey % 500 as s, o_custkey % 500 + o_orderkey % 6 as e from orders where o_orderkey % 20 = 0),
-    blocks as (select range, rel, unnest(generate_series(s, e - 1)) as block from ranges where e > s),
-    good as (select rel, s, e from fragments where lsn between 50000 and 140000),
-    bad as (select distinct range from blocks b where not exists (select 1 from good f where f.rel = b.rel and b.block >= f.s and b.block < f.e))
-    select range, rel, s as start, e as "end", range not in (select range from bad) as redundant from ranges""",
-)
-def gc_redundant(spark: SparkSession, sf: str) -> DataFrame:
-    return timetravel.image_redundant(all_ranges(spark, sf).where("range % 20 = 0"), fragments(spark, sf), 50_000, 140_000, bucket=64)
-
-
-# The three above are bound to their SQL, which takes a part of the tables; these take whole ones.
-
-SQL_WHOLE = """fragments as (select l_linenumber::bigint as rel, l_partkey % 500 as s, l_partkey % 500 + 10 + l_suppkey % 5 as e, l_orderkey * 10 as lsn from lineitem),
-requests as (select event_id as request, user_id % 8 as rel, event_id % 520 as block, event_id * 7 % 15000 * 10 as read_lsn from events)"""
-
-
-@register("timetravel_resolve_whole", f"with {SQL_WHOLE} select request, rel, block, read_lsn, base, outcome from {_sql_resolve('requests', 'fragments', 50_000)}")
-def timetravel_resolve_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return timetravel.resolve(all_requests(spark, sf), all_fragments(spark, sf), 50_000, bucket=64)
-
-
-@register(
-    "branch_resolve_whole",
-    f"""with {SQL_WHOLE}, own as (select * from fragments where lsn > 60000 and s % 3 = 0), parent as (select * from fragments where lsn <= 90000),
-    frozen as (select request, rel, block, least(read_lsn, 60000) as read_lsn from requests),
-    mine as {_sql_resolve('requests', 'own', 60_000)}, theirs as {_sql_resolve('frozen', 'parent', 20_000)}
-    select m.request, m.rel, m.block, m.read_lsn, case when m.covered then 'own' else 'parent' end as "from", case when m.covered then m.base else t.base end as base,
-    case when m.covered then m.outcome else t.outcome end as outcome from mine m join theirs t using (request)""",
-)
-def branch_resolve_whole(spark: SparkSession, sf: str) -> DataFrame:
-    f = all_fragments(spark, sf)
-    return timetravel.branch_resolve(all_requests(spark, sf), f.where("lsn <= 90000"), 20_000, f.where("lsn > 60000 and start % 3 = 0"), 60_000, 60_000, bucket=64)
-
-
-@register(
-    "gc_redundant_whole",
-    f"""with {SQL_WHOLE}, ranges as (select o_orderkey as range, o_orderkey % 8 as rel, o_custkey % 500 as s, o_custkey % 500 + o_orderkey % 6 as e from orders),
+    f"""with {SQL_TRAVEL}, ranges as (select o_orderkey as range, o_orderkey % 8 as rel, o_custkey % 500 as s, o_custkey % 500 + o_orderkey % 6 as e from orders),
     blocks as (select range, rel, unnest(generate_series(s, e - 1)) as block from ranges where e > s),
     good as (select distinct rel, unnest(generate_series(s, e - 1)) as block from fragments where lsn between 50000 and 140000),
     bad as (select distinct range from blocks anti join good using (rel, block))
     select range, rel, s as start, e as "end", range not in (select range from bad) as redundant from ranges""",
 )
-def gc_redundant_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return timetravel.image_redundant(all_ranges(spark, sf), all_fragments(spark, sf), 50_000, 140_000, bucket=64)
+def gc_redundant(spark: SparkSession, sf: str) -> DataFrame:
+    return timetravel.image_redundant(ranges(spark, sf), fragments(spark, sf), 50_000, 140_000, bucket=64)
 
 
 @register("gc_horizon", "select least(500, min(c_custkey * 3 + 200)) as horizon from customer")
@@ -354,9 +307,9 @@ def gc_horizon(spark: SparkSession, sf: str) -> DataFrame:
 # --- visibility ----------------------------------------------------------------------------------
 
 
-def status_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Status pages that are made from transactions: one byte for four xids."""
-    done = table(spark, sf, "events").select(F.col("event_id").alias("xid"), (F.col("event_id") * 31 % 7 % 4).alias("code"))
+def status_pages(spark: SparkSession, sf: str, first: int = 0) -> DataFrame:
+    """Status pages that are made from transactions, numbered from first on: one byte for four xids."""
+    done = table(spark, sf, "events").select((F.col("event_id") + first).alias("xid"), (F.col("event_id") * 31 % 7 % 4).alias("code"))
     four = done.groupBy(F.expr("xid div 4").alias("at")).agg(F.sum(F.expr("shiftleft(code, cast(xid % 4 as int) * 2)")).alias("b"))
     pages = four.groupBy(F.expr("at div 8192").alias("page_no")).agg(F.sort_array(F.collect_list(F.struct("at", "b"))).alias("l"))
     return pages.select("page_no", F.unhex(F.array_join(F.expr("transform(l, x -> lpad(hex(x.b), 2, '0'))"), "")).alias("page"))
@@ -376,14 +329,17 @@ def tuples(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def multis(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    offsets = spark.range(301).select(F.col("id").alias("multi"), (F.col("id") * 3 + F.col("id") % 2).alias("offset"))
-    members = spark.range(1000).select(F.col("id").alias("offset"), (F.col("id") * 17 % 9000).alias("xid"), (F.col("id") * 5 % 6).cast("int").alias("status"))
-    return offsets, members
+    """A group for each event, of two to four members."""
+    e = table(spark, sf, "events").select("event_id")
+    offsets = e.select(F.col("event_id").alias("multi"), (F.col("event_id") * 3 + F.col("event_id") % 2).alias("offset"))
+    members = e.select(F.explode(F.sequence(F.col("event_id") * 3, F.col("event_id") * 3 + 2)).alias("offset"))
+    return offsets, members.select("offset", (F.col("offset") * 17 % 9000).alias("xid"), (F.col("offset") * 5 % 6).cast("int").alias("status"))
 
 
-SQL_MULTI = """groups as (select multi, o, lead(o) over (order by multi) as until from (select range as multi, range * 3 + range % 2 as o from range(301))),
-members as (select range as o, range * 17 % 9000 as xid, range * 5 % 6 as status from range(1000)),
-updaters as (select g.multi, arg_min(m.xid, m.o) filter (where m.status > 3) as updater from groups g left join members m on m.o >= g.o and m.o < g.until where g.until is not null and g.until > g.o group by 1)"""
+SQL_MULTI = """groups as (select event_id as multi, event_id * 3 + event_id % 2 as o, lead(event_id * 3 + event_id % 2) over (order by event_id) as until from events),
+members as (select o, o * 17 % 9000 as xid, o * 5 % 6 as status from (select event_id * 3 + unnest(range(3)) as o from events)),
+spread as (select multi, unnest(range(o, until)) as o from groups where until > o),
+updaters as (select s.multi, arg_min(m.xid, m.o) filter (where m.status > 3) as updater from spread s left join members m using (o) group by 1)"""
 
 
 @register("multixact_updater", f"with {SQL_MULTI} select multi, updater from updaters")

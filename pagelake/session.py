@@ -9,8 +9,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Folders that shared_path() has named.
+#: Folders that shared_path() has named, and tables that bucketed() has.
 _made: list[str] = []
+_tables: list[str] = []
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -25,13 +26,16 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests), a local one is set."""
+    """The folder named by spark.checkpoint.dir, which all executors see. Where it is unset, a local master
+    (tests) gets a folder of this machine; a cluster has to name one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='pagelake-')}")
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -44,6 +48,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def release(spark: SparkSession) -> None:
     """Delete what this process has written to the shared folder. Results that read it must be written before."""
+    while _tables:
+        spark.sql(f"drop table if exists {_tables.pop()}")
     jvm = spark.sparkContext._jvm
     while _made:
         path = jvm.org.apache.hadoop.fs.Path(_made.pop())
@@ -58,5 +64,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As staged(), dealt out by a key once: joins and groups on the key read it without another shuffle."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    called = f"{name}_{uuid.uuid4().hex}"
+    _tables.append(called)
+    df.repartition(n, key).write.bucketBy(n, key).option("path", path).format("parquet").saveAsTable(called)
+    return spark.table(called)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -87,30 +87,48 @@ def read_multi_members(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_copy(spark: SparkSession, path: str, columns: list[Column], lsn: int) -> DataFrame:
-    """A snapshot in binary copy files as log rows at one position: the columns, _lsn, _seq, _deleted, _ctid."""
+    """copies() of files."""
+    return copies(_binary(spark, path).select("content"), columns, lsn)
+
+
+def copies(content: DataFrame, columns: list[Column], lsn: int) -> DataFrame:
+    """A snapshot in binary copies (one a row) as log rows at one position: the columns, _lsn, _seq, _deleted, _ctid."""
     from pagelake.operators.pages import _shown, _stored
 
     kinds = [c.type for c in columns]
     schema = ", ".join(f"{c.name} {_stored(c)}" for c in columns) + ", _ctid long"
-    rows = _mapped(_binary(spark, path), schema, lambda _, raw: ((*v, a[0] << 16 | a[1]) for a, v in files.copy_rows(raw, kinds)))
+    rows = _mapped(content, schema, lambda raw: ((*v, a[0] << 16 | a[1]) for a, v in files.copy_rows(raw, kinds)))
     rows = rows.withColumns({c.name: _shown(c) for c in columns if c.type in ("date", "timestamp", "timestamptz")})
     # an address is unique in a snapshot, so it numbers the rows without sorting them
     return rows.withColumns({"_lsn": F.lit(lsn).cast("long"), "_seq": F.col("_ctid"), "_deleted": F.lit(False)})
 
 
-def read_layers(spark: SparkSession, path: str) -> DataFrame:
-    """key parts, lsn and blob of image and delta layer files."""
+def layers(content: DataFrame) -> DataFrame:
+    """Key parts, lsn, kind of value (image, record or special), will_init and blob of layer files (one a row)."""
 
-    def entries(_: str, raw: bytes) -> Iterator[tuple]:
+    def entries(raw: bytes) -> Iterator[tuple]:
         s = files.layer_summary(raw)
         size = files.KEY if s["image"] else files.KEY + 8
         for key, value in files.layer_entries(raw, s["index"], s["root"], size):
             k = files.layer_key(key[: files.KEY])
             lsn = s["lsns"][0] if s["image"] else int.from_bytes(key[files.KEY :], "big")
             blob = files.layer_blob(raw, value if s["image"] else value >> 1)
-            yield k["kind"], k["space"], k["db"], k["rel"], k["fork"], k["block"], lsn, s["image"], blob
+            what, blob, whole = ("image", blob, True) if s["image"] else files.layer_value(blob)
+            yield k["kind"], k["space"], k["db"], k["rel"], k["fork"], k["block"], lsn, s["image"], what, whole, blob
+
+    return _mapped(content, "kind int, space long, db long, rel long, fork int, block long, lsn long, image boolean, value string, will_init boolean, blob binary", entries)
+
+
+def read_layers(spark: SparkSession, path: str) -> DataFrame:
+    """layers() of files."""
+    return layers(_binary(spark, path).select("content"))
 
-    return _mapped(_binary(spark, path), "kind int, space long, db long, rel long, fork int, block long, lsn long, image boolean, blob binary", entries)
+
+def layer_pages(entries: DataFrame, db: int | None = None) -> DataFrame:
+    """(rel, block, lsn, page) of relation pages among layer entries; what states a relation's size is none."""
+    found = entries.where("kind = 0 and fork = 0 and value = 'image' and block <> 4294967295")
+    found = found if db is None else found.where(F.col("db") == db)
+    return found.select("rel", "block", "lsn", F.col("blob").alias("page"))
 
 
 def read_relation_map(spark: SparkSession, path: str) -> DataFrame:
@@ -150,14 +168,62 @@ class _Reader(DataSourceReader):
             yield from self.make(os.path.basename(partition.path), f.read())
 
 
-def _records(name: str, raw: bytes) -> Iterator[tuple]:
-    start = segment_lsn(name)
-    yield from wal.Reader(start).feed(start, raw)
+class _Segment(InputPartition):
+    """A segment file, and those after it, which may hold the end of its last record."""
+
+    def __init__(self, path: str, following: list[str]):
+        self.path, self.following = path, following
+
+
+def _content(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def _segment_records(part: _Segment) -> Iterator[tuple[int, bytes]]:
+    """The records that begin in a segment. A last one that the files don't end isn't there yet."""
+    start, raw = segment_lsn(os.path.basename(part.path)), _content(part.path)
+    reader = wal.Reader(start)
+    yield from reader.feed(start, raw)
+    if reader.record_lsn is None:
+        return
+    record, end = bytes(reader.record), start + len(raw)
+    for path in part.following:
+        if len(record) >= reader.total:
+            break
+        if (lsn := segment_lsn(os.path.basename(path))) != end:
+            raise wal.FormatError(f"a gap: {lsn:X} in place of {end:X}")
+        raw = _content(path)
+        record, end = record + wal.head(raw, lsn), lsn + len(raw)
+    if len(record) >= reader.total:
+        yield reader.record_lsn, record[: reader.total]
+
+
+def _segments(path: str) -> list[str]:
+    names = sorted(n for n in os.listdir(path) if len(n) == 24)
+    lsns = [segment_lsn(n) for n in names]
+    if lsns and lsns != list(range(lsns[0], lsns[0] + len(lsns) * wal.SEGMENT, wal.SEGMENT)):
+        raise wal.FormatError("a segment is missing")
+    return [os.path.join(path, n) for n in names]
+
+
+class _WalReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.path = options["path"]
+
+    def partitions(self) -> list[InputPartition]:
+        found = _segments(self.path)
+        return [_Segment(p, found[i + 1 :]) for i, p in enumerate(found)]
+
+    def read(self, partition: _Segment) -> Iterator[tuple]:
+        return _segment_records(partition)
 
 
 class WalSource(DataSource):
-    """format("pagelake_wal"): (lsn, record) of the whole records in segment files on a shared path.
-    As a stream, each new segment file is read once; a record across segments needs read_wal()."""
+    """format("pagelake_wal"): (lsn, record) of segment files on a path that all executors see. A task reads a
+    segment and, as far as its last record needs it, the ones after it.
+
+    As a stream, a segment is read once, when all records that begin in it have ended."""
 
     @classmethod
     def name(cls) -> str:
@@ -167,7 +233,7 @@ class WalSource(DataSource):
         return "lsn bigint, record binary"
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(self.options, _records)
+        return _WalReader(self.options)
 
     def streamReader(self, schema: StructType) -> DataSourceStreamReader:
         return _WalStream(self.options)
@@ -177,22 +243,30 @@ class _WalStream(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.path, self.start = options["path"], options.get("start", "")
 
-    def _names(self) -> list[str]:
-        return sorted(n for n in os.listdir(self.path) if len(n) == 24)
-
     def initialOffset(self) -> dict:
         return {"after": self.start}
 
     def latestOffset(self) -> dict:
-        names = self._names()
-        return {"after": names[-1] if names else self.start}
+        """The newest segment whose last record has ended: all before the first that is still open."""
+        found = [p for p in _segments(self.path) if os.path.basename(p) > self.start]
+        while found and self._open(found[-1]):
+            found.pop()
+        return {"after": os.path.basename(found[-1]) if found else self.start}
+
+    @staticmethod
+    def _open(path: str) -> bool:
+        start = segment_lsn(os.path.basename(path))
+        reader = wal.Reader(start)
+        for _ in reader.feed(start, _content(path)):
+            pass
+        return reader.record_lsn is not None or reader.skip > 0
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [_File(os.path.join(self.path, n)) for n in self._names() if start["after"] < n <= end["after"]]
+        found = _segments(self.path)
+        return [_Segment(p, found[i + 1 :]) for i, p in enumerate(found) if start["after"] < os.path.basename(p) <= end["after"]]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
-            yield from _records(os.path.basename(partition.path), f.read())
+    def read(self, partition: _Segment) -> Iterator[tuple]:
+        return _segment_records(partition)
 
 
 class HeapSource(DataSource):

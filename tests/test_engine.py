@@ -5,6 +5,7 @@ import json
 import os
 import random
 import struct
+import time
 import urllib.error
 import urllib.request
 
@@ -27,6 +28,7 @@ from pagelake.session import release, staged
 from pagelake.sources import files as sources
 from pagelake.sources import replication
 from pagelake.sources.commitlog import Conflict, LakeTable
+from pagelake.streaming import transactions as transactions_stream
 from pagelake.streaming.events import Config, Engine, Event, Tracked
 from pagelake.streaming.tail import TailStore, serve
 
@@ -295,6 +297,41 @@ def test_outcomes_and_created_relations():
     assert wal.created_relation(smgr(0)) == (1, 2, 3) and wal.created_relation(smgr(1)) is None
 
 
+def test_lost_segments_and_ends_are_refused(spark):
+    start = 7 * wal.SEGMENT
+    raw, places = wal.frame([*sealed([9_000] * 100), wal.build(1, 1, 0x70, bytes(3 * wal.SEGMENT)), *sealed([50] * 40)], start)
+    parts = [(start + i, bytearray(raw[i : i + wal.SEGMENT])) for i in range(0, len(raw), wal.SEGMENT)]
+    assert len(parts) == 4
+    frame = lambda *which: records.framed(spark.createDataFrame([parts[i] for i in which], "start_lsn long, bytes binary"))
+    got = frame(0, 1, 2, 3)
+    assert sorted((r.lsn, r.n) for r in got.selectExpr("lsn", "octet_length(record) as n").collect())[99:102] == [(places[99], len(sealed([9_000])[0])), (places[100], len(wal.build(1, 1, 0x70, bytes(3 * wal.SEGMENT)))), (places[101], len(sealed([50])[0]))]
+    assert got.count() == len(places)
+    assert frame(0, 1, 2).count() == 100 and frame(0).count() == 100  # the newest may end within a record
+    for hole in ((0, 2, 3), (0, 1, 3), (0, 1, 1, 2, 3)):
+        with pytest.raises(values.FormatError):
+            frame(*hole)
+    parts[1] = (parts[1][0], parts[1][1][: wal.PAGE * 5])
+    with pytest.raises(values.FormatError):
+        frame(0, 1, 2, 3)
+
+
+def test_wal_source_ends_records_in_the_next_segments(spark, tmp_path):
+    start = 7 * wal.SEGMENT
+    raw, places = wal.frame(sealed([9_000] * 3000), start)
+    sources.register(spark)
+    names = []
+    for i in range(0, len(raw), wal.SEGMENT):
+        names.append(tmp_path / sources.segment_name(start + i))
+        names[-1].write_bytes(raw[i : i + wal.SEGMENT].ljust(wal.SEGMENT, b"\0"))
+    assert len(names) == 2
+    got = spark.read.format("pagelake_wal").load(str(tmp_path))
+    assert sorted(r.lsn for r in got.select("lsn").collect()) == places and records.parsed(got).where("error is not null").count() == 0
+    stream = sources._WalStream({"path": str(tmp_path)})
+    assert stream.latestOffset() == {"after": names[1].name}
+    names[1].rename(tmp_path / "later")
+    assert stream.latestOffset() == {"after": ""}
+
+
 def test_records_across_segments(spark, tmp_path):
     recs = sealed([9_000] * 4000)
     start = 7 * wal.SEGMENT
@@ -340,10 +377,10 @@ def test_sources_read_files(spark, tmp_path):
     assert [(r.id, r.d, r.n, r.j, r._lsn, r._ctid) for r in got] == [(5, datetime.date(2024, 10, 4), "1.50", '{"a": 1}', 99, 1), (6, None, None, None, 99, 2)]
     entries = [(bytes([0]) + struct.pack(">IIIBI", 1, 2, 3, 0, b), bytes([b % 251]) * (b * 3)) for b in range(300)]
     (tmp_path / "layer/image").write_bytes(files.layer_file(entries, 77, fanout=7))
-    (tmp_path / "layer/delta").write_bytes(files.layer_file([(k + struct.pack(">Q", 80), b"w") for k, _ in entries], 70, 90))
+    (tmp_path / "layer/delta").write_bytes(files.layer_file([(k + struct.pack(">Q", 80), files.record_value(b"w")) for k, _ in entries], 70, 90))
     got = sources.read_layers(spark, str(tmp_path / "layer"))
     assert {(r.block, r.lsn, bytes(r.blob)) for r in got.where("image").collect()} == {(b, 77, v) for b, (_, v) in enumerate(entries)}
-    assert got.where("not image and lsn = 80").count() == 300
+    assert got.where("not image and lsn = 80 and value = 'record' and blob = X'77'").count() == 300
     assert files.relation_map(struct.pack("<Ii4I", files.RELMAP_MAGIC, 2, 1259, 700, 1249, 701)) == {1259: 700, 1249: 701}
 
 
@@ -402,6 +439,136 @@ def test_replication_messages():
     assert dead.page(1, 2, 3) is None and dead.page(1, 2, 3) is None and len(calls) == 3
 
 
+class Script:
+    """A server that answers what it is asked with what the script says."""
+
+    def __init__(self, answers):
+        self.answers, self.out, self.sent = list(answers), b"", []
+
+    def write(self, raw):
+        self.sent.append(bytes(raw))
+        if self.answers:
+            answer = self.answers.pop(0)
+            self.out += answer(raw) if callable(answer) else answer
+
+    def read(self, n):
+        got, self.out = self.out[:n], self.out[n:]
+        return got
+
+
+def msg(tag, body=b""):
+    return tag + struct.pack(">I", len(body) + 4) + body
+
+
+def data_row(*fields):
+    return msg(b"D", struct.pack(">H", len(fields)) + b"".join(struct.pack(">i", -1) if f is None else struct.pack(">i", len(f)) + f.encode() for f in fields))
+
+
+READY = msg(b"Z", b"I")
+HELLO = msg(b"R", struct.pack(">I", 0)) + msg(b"S", b"x\0y\0") + READY
+
+
+def test_connections_log_in_and_ask():
+    error = lambda code: msg(b"E", f"SERROR\0C{code}\0Mno\0\0".encode()) + READY
+    server = Script([msg(b"R", struct.pack(">I", 3)), HELLO, data_row("7", "2", "1/30", None) + READY, msg(b"N", b"note\0") + READY, error("42710"), error("42501"), data_row("physical", "0/20", "1") + READY, data_row(None, None, None) + READY])
+    conn = replication.Connection(server, "u", "d", {"options": "-c x=1"}, "secret")
+    assert server.sent[1] == msg(b"p", b"secret\0") and b"replication\0true\0" in server.sent[0] and b"options\0-c x=1\0" in server.sent[0]
+    assert conn.identify() == (2, 0x1_00000030)
+    assert conn.create_slot("s") and not conn.create_slot("s")
+    with pytest.raises(replication.ServerError, match="42501"):
+        conn.create_slot("s")
+    assert conn.slot_restart("s") == 0x20 and conn.slot_restart("s") is None
+    with pytest.raises(replication.ServerError):
+        replication.Connection(Script([msg(b"R", struct.pack(">I", 10))]), "u", "d", password="p")
+
+
+def test_connections_stream_the_log():
+    w = msg(b"d", b"w" + struct.pack(">QQq", 8192, 9000, 0) + b"abc")
+    k = msg(b"d", b"k" + struct.pack(">QqB", 9000, 0, 1))
+    server = Script([HELLO, msg(b"W", b"\0\0\0") + w + k, b""])
+    conn = replication.Connection(server, "u", "d")
+    got = conn.stream_log(8192, "slot", 1)
+    assert next(got) == replication.Data(8192, 9000, b"abc") and next(got) == replication.Keepalive(9000, True)
+    assert server.sent[1] == msg(b"Q", b"START_REPLICATION SLOT slot PHYSICAL 0/2000 TIMELINE 1\0")
+    conn.acknowledge(9000, 8192)
+    assert server.sent[2][:6] == b"d" + struct.pack(">I", 38) + b"r"
+    with pytest.raises(ConnectionError):
+        next(got)
+
+
+def test_snapshots_are_taken_under_a_lock(spark):
+    raw = files.copy_bytes([((0, 1), [5, "a"]), ((0, 2), [6, None])], ["int8", "text"])
+    copied = msg(b"H", b"\1\0\0") + msg(b"d", raw[:20]) + msg(b"d", raw[20:]) + msg(b"c") + msg(b"C", b"COPY 2\0") + READY
+    server = Script([HELLO, READY, READY, data_row("0/99") + READY, copied, READY])
+    lsn, got = replication.take_snapshot(replication.Connection(server, "u", "d"), "t", ["id", 'we"ird'])
+    assert (lsn, got) == (0x99, raw) and b"EXCLUSIVE" in server.sent[2] and b'"we""ird"' in server.sent[4] and server.sent[5] == msg(b"Q", b"COMMIT\0")
+    rows = sources.copies(spark.createDataFrame([(bytearray(got),)], "content binary"), [Column("id", "int8"), Column("t", "text")], lsn).collect()
+    assert sorted((r.id, r.t, r._lsn, r._ctid) for r in rows) == [(5, "a", 0x99, 1), (6, None, 0x99, 2)]
+    failing = Script([HELLO, READY, msg(b"E", b"C55P03\0Mno\0\0") + READY, READY])
+    with pytest.raises(replication.ServerError):
+        replication.take_snapshot(replication.Connection(failing, "u", "d"), "t", ["id"])
+    assert failing.sent[-1] == msg(b"Q", b"ROLLBACK\0")
+    asks = Script([HELLO, data_row("700") + data_row("701") + data_row(None) + READY, data_row("a.b", "x") + data_row("c.d", "") + READY])
+    conn = replication.Connection(asks, "u", "d")
+    assert replication.catalog_files(conn) == {700, 701} and replication.settings(conn, ["a.b", "c.d"]) == {"a.b": "x"}
+
+
+def test_page_servers_answer_what_was_asked(spark):
+    page = heap.build_page([("tuple", heap.make_tuple(PAIR, [1, "old"], 3, 0, (4, 1)))], 4, 1)
+
+    def answer(tag, more, number=None):
+        def give(raw):
+            request = raw[5:]
+            echo = request[1:] if number is None else struct.pack(">Q", number) + request[9:]
+            return msg(b"d", bytes([tag]) + echo + more)
+
+        return give
+
+    error = lambda raw: msg(b"d", bytes([103]) + raw[6:30] + b"gone\0")
+    server = Script([HELLO, answer(100, b"\1"), answer(101, struct.pack(">I", 5)), answer(102, page), error, answer(102, page, 99), answer(101, b"")])
+    pages_ = replication.PageServer(replication.Connection(server, "u", "d"), 1663, 5)
+    assert pages_.exists(16384, 50) and pages_.blocks(16384, 50) == 5 and pages_.page(16384, 4, 50) == page
+    assert server.sent[3][5:] == struct.pack(">BQQQIIIBI", 2, 3, 50, 50, 1663, 5, 16384, 0, 4)
+    for _ in range(3):
+        with pytest.raises(ConnectionError):
+            pages_.page(16384, 4, 50)
+    stored = replication.StoredPages({(16384, 0): page, (16384, 2): page})
+    assert replication.relation_pages(stored, 16384, 9) == [(16384, 0, page), (16384, 2, page)] and not stored.exists(5, 9)
+
+
+def test_deletes_and_updates_of_rows_older_than_the_log_take_pages(spark):
+    old = heap.encode_attrs(PAIR, [1, "hello"])[1]
+    page = heap.build_page([("tuple", heap.make_tuple(PAIR, [1, "hello"], 3, 0, (4, 1))), ("tuple", heap.make_tuple(PAIR, [2, "gone"], 3, 0, (4, 2)))], 4, 1)
+    new = wal.log_tuple(PAIR, [1, "help"])
+    head = len(new) - len(heap.encode_attrs(PAIR, [1, "help"])[1])
+    prefix = 4
+    assert heap.encode_attrs(PAIR, [1, "help"])[1][:prefix] == old[:prefix]
+    recs = [wal.log_update(1, REL, 4, 1, 1, struct.pack("<H", prefix) + new[:head] + new[head + prefix :], wal.PREFIX), wal.log_delete(1, REL, 4, 2), wal.log_delete(1, REL, 9, 1)]
+    df = spark.createDataFrame([(i, bytearray(r)) for i, r in enumerate(wal.seal(recs))], "lsn long, record binary")
+    ops = records.operations(records.parsed(df))
+    blind = pages.decode(records.completed(ops), PAIR).collect()
+    assert all(r.decode_error and r.id is None for r in blind) and len(blind) == 3
+    stored = {(REL[2], 4): page}
+    known = records.from_pages(ops, lambda: replication.Oracle(lambda: replication.StoredPages(stored)))
+    rows = {r.lsn: r for r in pages.decode(records.completed(ops, known), PAIR).collect()}
+    assert (rows[0].id, rows[0].t, rows[0].op) == (1, "help", "update") and (rows[1].id, rows[1].t, rows[1].op) == (2, "gone", "delete")
+    assert rows[2].decode_error and len(rows) == 3
+
+
+def test_layer_nodes_mark_their_children():
+    entries = [(bytes([0]) + struct.pack(">IIIBI", 1, 2, 3, 0, b), b"x") for b in range(100)]
+    raw = files.layer_file(entries, 5, fanout=4)
+    s = files.layer_summary(raw)
+    at = (s["index"] + s["root"]) * files.LAYER_PAGE
+    n, level, prefix, suffix = struct.unpack_from(">HBBB", raw, at)
+    values_ = raw[at + 5 + prefix + n * suffix :][: 5 * n]
+    assert level == 3 and set(values_[::5]) == {0x80}
+    assert [k for k, _ in files.layer_entries(raw, s["index"], s["root"], files.KEY)] == [k for k, _ in entries]
+    with pytest.raises(values.FormatError):
+        files.layer_value(struct.pack(">I", 9))
+    assert files.layer_value(files.record_value(b"abc", True)) == ("record", b"abc", True) and files.layer_value(files.image_value(b"p")) == ("image", b"p", True)
+
+
 # --- relational operators ------------------------------------------------------------------------
 
 
@@ -518,6 +685,23 @@ def test_table_grows_columns_before_data(spark, tmp_path):
         LakeTable.open(spark, str(tmp_path / "t"), StructType.fromDDL("k string"))
 
 
+def test_table_id_is_kept_and_checkpoints_stand_for_commits(spark, tmp_path):
+    t = open_table(spark, tmp_path / "t")
+    first = t.snapshot().meta
+    for k in range(23):
+        t.append(log_rows(spark, (k % 3, str(k), k, False)), {"commit": k + 1, "restart": k})
+    grown = LakeTable.open(spark, str(tmp_path / "t"), StructType.fromDDL("k long, v string, w int"))
+    assert {k: grown.snapshot().meta[k] for k in ("id", "createdTime")} == {k: first[k] for k in ("id", "createdTime")}
+    assert sorted(p.name[:20] for p in (tmp_path / "t/_delta_log").glob("*.checkpoint.parquet")) == [f"{v:020d}" for v in (10, 20)]
+    before = t.snapshot()
+    for v in range(20):
+        (tmp_path / f"t/_delta_log/{v:020d}.json").unlink()
+    again = LakeTable(spark, str(tmp_path / "t"))
+    assert again.snapshot() == before and again.resume()["commit"] == 23
+    assert {tuple(r)[:2] for r in again.current(["k"]).collect()} == {(0, "21"), (1, "22"), (2, "20")}
+    assert again.snapshot(21).version == 21 and again.log(21).count() == 21
+
+
 def test_two_writers_never_take_one_number(spark, tmp_path):
     a, b = open_table(spark, tmp_path / "t"), open_table(spark, tmp_path / "t")
     with pytest.raises(Conflict):
@@ -603,6 +787,136 @@ def test_engine_snapshots_remaps_and_detaches(spark, tmp_path):
     assert engine.tables == {}
 
 
+def test_gaps_and_lost_records_leave_no_deleted_row(spark, tmp_path):
+    state = {"rows": [(1, "a"), (2, "b")], "lsn": 100}
+    snap = lambda t: (state["lsn"], log_rows(spark, *((k, v, state["lsn"], False) for k, v in state["rows"])))
+    engine = Engine(spark, snap)
+    t = Tracked(5, "t", 7, open_table(spark, tmp_path / "t"), ["k"])
+    engine.attach(t)
+    state.update(rows=[(1, "a")], lsn=300)
+    assert engine.gap_check(200) == ["t"]
+    assert {tuple(r) for r in t.lake.current(["k"]).collect()} == {(1, "a")} and t.lake.resume() == {"commit": 300, "restart": 300, "filenode": 7}
+    state.update(rows=[(3, "c")], lsn=400)
+    engine.lost(350)
+    assert {tuple(r) for r in t.lake.current(["k"]).collect()} == {(3, "c")}
+
+
+def test_a_remap_that_was_cut_off_is_repeated(spark, tmp_path):
+    state = {"rows": [(1, "a")], "lsn": 100}
+
+    def snap(t):
+        if state["rows"] is None:
+            raise KeyboardInterrupt
+        return state["lsn"], log_rows(spark, *((k, v, state["lsn"], False) for k, v in state["rows"]))
+
+    t = Tracked(5, "t", 7, open_table(spark, tmp_path / "t"), ["k"])
+    engine = Engine(spark, snap)
+    engine.attach(t)
+    state["rows"] = None
+    with pytest.raises(KeyboardInterrupt):
+        engine.remap(t, 110)
+    assert t.lake.resume()["filenode"] == 0
+    state.update(rows=[(2, "b")], lsn=120)
+    Engine(spark, snap).attach(Tracked(5, "t", 7, open_table(spark, tmp_path / "t"), ["k"]))
+    assert {tuple(r) for r in t.lake.current(["k"]).collect()} == {(2, "b")} and t.lake.resume()["filenode"] == 7
+
+
+def test_engine_flushes_by_the_clock_and_keeps_open_work(spark, tmp_path):
+    engine = Engine(spark, lambda t: (50, log_rows(spark, (9, "s", 50, False))), Config(flush_rows=1000, flush_seconds=0.3))
+    t = Tracked(5, "t", 7, open_table(spark, tmp_path / "t"), ["k"])
+    engine.attach(t)
+    seen = {}
+
+    def events():
+        yield Event("op", 60, 4, 5, "insert", {"k": 4, "v": "open"})
+        yield Event("op", 61, 1, 5, "insert", {"k": 1, "v": "a"}, ctid=1 << 16 | 2)
+        yield Event("commit", 62, 1)
+        end = time.monotonic() + 60
+        while t.lake.resume()["commit"] != 62 and time.monotonic() < end:  # no event comes
+            time.sleep(0.1)
+        seen.update(t.lake.resume(), pending=engine.pending, age=engine.age)
+        yield Event("commit", 70, 4)
+
+    engine.run(events())
+    assert seen == {"commit": 62, "restart": 60, "filenode": 7, "pending": 1, "age": None}
+    assert {(r.k, r._ctid) for r in t.lake.log().where("k = 1").collect()} == {(1, 1 << 16 | 2)}
+    assert t.lake.resume()["restart"] == 70 and t.lake.current(["k"]).count() == 3
+
+
+def test_engine_writes_tombstones_of_changed_keys(spark, tmp_path):
+    engine = Engine(spark, lambda t: (50, log_rows(spark, (9, "s", 50, False))), Config(flush_rows=1000, flush_seconds=1000))
+    t = Tracked(5, "t", 7, open_table(spark, tmp_path / "t"), ["k"])
+    engine.attach(t)
+    engine.run([
+        Event("op", 60, 1, 5, "update", {"k": 10, "v": "moved"}, old={"k": 9}), Event("op", 61, 1, 5, "insert", {"k": 2, "v": "b"}), Event("op", 62, 1, 5, "update", {"k": 2, "v": "c"}),
+        Event("op", 63, 1, 5, "delete", None, ctid=7), Event("commit", 64, 1),
+    ])
+    assert {tuple(r) for r in t.lake.current(["k"]).collect()} == {(10, "moved"), (2, "c")}
+    assert t.lake.log().where("k is null").count() == 0
+
+
+def test_engine_reads_the_catalog_after_suspects_and_drift(spark, tmp_path):
+    state, asked = {"rows": [(1, "a")], "lsn": 100}, []
+    snap = lambda t: (state["lsn"], log_rows(spark, *((k, v, state["lsn"], False) for k, v in state["rows"])))
+    t = Tracked(5, "t", 7, open_table(spark, tmp_path / "t"), ["k"], ["k", "v"])
+    fresh = {5: Tracked(5, "t", 8, t.lake, ["k"], ["k", "v"])}
+    change = ["rewritten"]
+
+    def read():
+        asked.append(1)
+        return spark.createDataFrame([(5, "t", "t", change[0])], "oid long, old_name string, new_name string, change string"), fresh
+
+    engine = Engine(spark, snap, Config(flush_seconds=1000), read)
+    engine.attach(t)
+    state.update(rows=[(2, "b")], lsn=150)
+    engine.run([Event("suspect", 110, 3), Event("commit", 111, 4), Event("abort", 112, 5), Event("commit", 115, 6, subxids=(3,))])
+    assert len(asked) == 1 and {tuple(r) for r in t.lake.current(["k"]).collect()} == {(2, "b")} and t.lake.resume()["filenode"] == 8
+    change[0] = "same"
+    state.update(rows=[(3, "c")], lsn=300)
+    engine.run([Event("drift", 200, oid=5)])
+    assert len(asked) == 2 and {tuple(r) for r in t.lake.current(["k"]).collect()} == {(3, "c")}
+
+
+def test_a_column_with_a_default_that_came_while_offline(spark, tmp_path):
+    open_table(spark, tmp_path / "t").append(log_rows(spark, (1, "a", 10, False)), {"commit": 10, "restart": 10, "filenode": 7})
+    wide = LakeTable.open(spark, str(tmp_path / "t"), StructType.fromDDL("k long, v string, w int"))
+    assert wide.grown and not LakeTable.open(spark, str(tmp_path / "t"), StructType.fromDDL("k long, v string, w int")).grown
+    engine = Engine(spark, lambda t: (30, log_rows(spark, (1, "a", 30, False)).withColumn("w", F.lit(5))))
+    engine.attach(Tracked(5, "t", 7, wide, ["k"], fast_defaults=True))
+    assert {tuple(r) for r in wide.current(["k"]).collect()} == {(1, "a", 5)}
+
+
+def test_streams_of_new_checkpoints_are_no_replays(spark, tmp_path):
+    rows = "xid long, lsn long, pos int, op string, ctid long, k long, v string, old_k long"
+    lake = open_table(spark, tmp_path / "t")
+    for n in (1, 2):
+        ops = spark.createDataFrame([(n, 10 * n, 0, "insert", 5, n, "new", None), (n, 10 * n + 1, 0, "update", 6, n + 100, "moved", n)], rows)
+        outcomes = spark.createDataFrame([(n, 10 * n + 5, True, [])], "xid long, lsn long, committed boolean, subxids array<long>")
+        transactions_stream.controlled(ops, outcomes).write.mode("append").parquet(str(tmp_path / f"in{n}"))
+        stream = spark.readStream.schema("kind string, xid long, lsn long, payload string").parquet(str(tmp_path / f"in{n}"))
+        out = transactions_stream.released(stream, "pos int, op string, ctid long, k long, v string, old_k long")
+        for _ in range(2):  # the same checkpoint twice: nothing is written again
+            transactions_stream.to_lake(out, lake, str(tmp_path / f"cp{n}"), keys=["k"]).awaitTermination()
+    assert {tuple(r) for r in lake.current(["k"]).collect()} == {(101, "moved"), (102, "moved")}
+    assert lake.log().count() == 6 and {r._ctid for r in lake.log().where("v = 'moved' and not _deleted").collect()} == {6}
+
+
+def test_chunks_wait_in_the_state_with_their_transaction(spark, tmp_path):
+    def pointer(k, value_id, size):
+        return bytearray(struct.pack("<q", k) + heap.make_pointer(size + 4, size, value_id, 9))
+
+    ops = spark.createDataFrame([(1, 10, 0, pointer(1, 500, 5), 2), (2, 11, 0, pointer(2, 501, 4), 2)], "xid long, lsn long, pos int, attrs binary, infomask2 int")
+    chunks = spark.createDataFrame([(1, 8, 500, 0, bytearray(b"abc")), (1, 9, 500, 1, bytearray(b"de")), (2, 9, 501, 1, bytearray(b"lost"))], "xid long, lsn long, value_id long, seq int, data binary")
+    outcomes = spark.createDataFrame([(1, 20, True, []), (2, 21, True, [])], "xid long, lsn long, committed boolean, subxids array<long>")
+    transactions_stream.controlled(ops, outcomes, chunks).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("kind string, xid long, lsn long, payload string").parquet(str(tmp_path / "in"))
+    out = transactions_stream.released(stream, "pos int, attrs binary, infomask2 int", chunks=True)
+    query = out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    query.awaitTermination()
+    rows = pages.decode(spark.read.parquet(str(tmp_path / "out")).withColumn("bitmap", F.lit(None).cast("binary")), [Column("k", "int8"), Column("t", "text")])
+    assert {(r.xid, r.k, r.t, r.decode_error is None) for r in rows.collect()} == {(1, 1, "abcde", True), (2, None, None, False)}
+
+
 def test_engine_runs_events(spark, tmp_path):
     engine = Engine(spark, lambda t: (50, log_rows(spark, (9, "s", 50, False))), Config(flush_rows=3, flush_seconds=1000))
     t = Tracked(5, "t", 7, open_table(spark, tmp_path / "t"), ["k"])
@@ -615,7 +929,7 @@ def test_engine_runs_events(spark, tmp_path):
     assert {tuple(r) for r in t.lake.current(["k"]).collect()} == {(9, "s"), (3, "sub")}
     assert engine.tail.applied_lsn == 70 and t.lake.resume()["commit"] == 67
     engine.run([op(4, 71, "insert", 4, "z"), Event("lost", 80), Event("commit", 90, 4)])
-    assert 4 not in {r.k for r in t.lake.current(["k"]).collect()} and t.lake.resume()["commit"] == 80
+    assert 4 not in {r.k for r in t.lake.current(["k"]).collect()} and t.lake.resume()["commit"] == 81
     with pytest.raises(ValueError, match="unknown"):
         engine.run([Event("other")])
 

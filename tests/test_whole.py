@@ -9,8 +9,8 @@ from pagelake.plans import registry
 def test_time_travel_takes_whole_tables(spark, sf):
     q = registry.queries()
     rows = lambda name: spark.read.parquet(f"{sf}/{name}.parquet").count()
-    assert q["timetravel_resolve_whole"](spark, sf).count() == q["branch_resolve_whole"](spark, sf).count() == rows("events")
-    assert q["gc_redundant_whole"](spark, sf).count() == rows("orders")
+    assert q["timetravel_resolve"](spark, sf).count() == q["branch_resolve"](spark, sf).count() == rows("events")
+    assert q["gc_redundant"](spark, sf).count() == rows("orders")
 
 
 def test_time_travel_equals_brute_force(spark):
