@@ -253,31 +253,35 @@ def tuples(page: bytes) -> Iterator[Tuple]:
             yield parse_tuple(page[at : at + size], i + 1)
 
 
-def tuple_at(page: bytes, offset: int) -> Tuple | None:
-    items = pointers(page)
+def tuple_at(page: bytes, offset: int, items: list[tuple[int, int, int]] | None = None) -> Tuple | None:
+    items = pointers(page) if items is None else items
     if not 1 <= offset <= len(items):
         return None
     kind, at, size = items[offset - 1]
     return parse_tuple(page[at : at + size], offset) if kind == NORMAL else None
 
 
-def roots(page: bytes) -> list[tuple[int, int]]:
+def roots(page: bytes, items: list[tuple[int, int, int]] | None = None) -> list[tuple[int, int]]:
     """(root, first tuple) of each chain: plain tuples and what redirects point to."""
     out = []
-    for i, (kind, at, size) in enumerate(pointers(page)):
+    for i, (kind, at, size) in enumerate(pointers(page) if items is None else items):
         if kind == REDIRECT:
             out.append((i + 1, at))
-        elif kind == NORMAL and not parse_tuple(page[at : at + size]).infomask2 & HEAP_ONLY:
-            out.append((i + 1, i + 1))
+        elif kind == NORMAL:
+            if size < TUPLE_HEADER or at + size > PAGE:
+                raise FormatError("a tuple without header")
+            if not (page[at + 18] | page[at + 19] << 8) & HEAP_ONLY:
+                out.append((i + 1, i + 1))
     return out
 
 
-def chain(page: bytes, first: int, limit: int = 1024) -> Iterator[Tuple]:
+def chain(page: bytes, first: int, limit: int = 1024, items: list[tuple[int, int, int]] | None = None) -> Iterator[Tuple]:
     """The versions of a chain, oldest first. It goes on while a tuple is marked as updated in place and
-    the next one's xmin is its xmax; limit ends a cycle."""
+    the next one's xmin is its xmax; limit ends a cycle. items: pointers(page), for all chains of a page."""
     at, before = first, None
+    items = pointers(page) if items is None else items
     for _ in range(limit):
-        t = tuple_at(page, at)
+        t = tuple_at(page, at, items)
         if t is None or before is not None and t.xmin != before:
             return
         yield t

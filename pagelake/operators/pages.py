@@ -55,8 +55,9 @@ def chains(pages: DataFrame) -> DataFrame:
             for *r, page in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 if page is None:
                     continue
-                for root, first in heap.roots(page):
-                    rows += [(*r, root, d, *_tuple_row(t)) for d, t in enumerate(heap.chain(page, first))]
+                items = heap.pointers(page)
+                for root, first in heap.roots(page, items):
+                    rows += [(*r, root, d, *_tuple_row(t)) for d, t in enumerate(heap.chain(page, first, items=items))]
             yield batch(rows, schema)
 
     return pages.select(*keep, "page").mapInArrow(run, schema)

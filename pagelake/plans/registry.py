@@ -26,7 +26,7 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 #: Modules whose import registers queries.
-MODULES = ("pagelake.plans.lake", "pagelake.plans.codecs", "pagelake.plans.tables")
+MODULES = ("pagelake.plans.lake", "pagelake.plans.codecs", "pagelake.plans.formats", "pagelake.plans.tables")
 
 
 def queries() -> dict[str, Query]:

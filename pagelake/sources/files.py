@@ -61,7 +61,12 @@ def read_wal(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_heap(spark: SparkSession, path: str, segment_blocks: int = 131072) -> DataFrame:
-    """(rel, block, page) of relation files, named by their number and, beyond the first, a segment."""
+    """heap_pages() of relation files."""
+    return heap_pages(_binary(spark, path), segment_blocks)
+
+
+def heap_pages(content: DataFrame, segment_blocks: int = 131072) -> DataFrame:
+    """(rel, block, page) of relation files (path, content), named by their number and, beyond the first, a segment."""
 
     def pages(name: str, raw: bytes) -> Iterator[tuple]:
         rel, _, segment = os.path.basename(name).partition(".")
@@ -69,12 +74,17 @@ def read_heap(spark: SparkSession, path: str, segment_blocks: int = 131072) -> D
         for i in range(len(raw) // heap.PAGE):
             yield int(rel), first + i, raw[i * heap.PAGE : (i + 1) * heap.PAGE]
 
-    return _mapped(_binary(spark, path), "rel long, block long, page binary", pages)
+    return _mapped(content.select("path", "content"), "rel long, block long, page binary", pages)
 
 
 def read_status(spark: SparkSession, path: str) -> DataFrame:
-    """(page_no, page) of transaction status segments, for visibility.statuses()."""
-    return _mapped(_binary(spark, path), "page_no long, page binary", lambda name, raw: files.segment_pages(os.path.basename(name), raw))
+    """status_pages() of transaction status segments."""
+    return status_pages(_binary(spark, path))
+
+
+def status_pages(content: DataFrame) -> DataFrame:
+    """(page_no, page) of status segments (path, content), for visibility.statuses()."""
+    return _mapped(content.select("path", "content"), "page_no long, page binary", lambda name, raw: files.segment_pages(os.path.basename(name), raw))
 
 
 def read_multi_offsets(spark: SparkSession, path: str) -> DataFrame:
