@@ -1,4 +1,6 @@
-"""Value codecs as vectorised functions, for DataFrames and (after register) for SQL."""
+"""Value codecs as functions over Arrow batches, for DataFrames and (after register) for SQL.
+
+Batches travel as Arrow; within one, a value's bytes are read by Python, one at a time."""
 
 from __future__ import annotations
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelake.session import small
+
 
 def tables(pg_class: DataFrame, pg_namespace: DataFrame, names: list[str] | None = None, schema: str = "public") -> DataFrame:
     """Ordinary tables of a schema: oid, relname, relfilenode, relnatts, reltoastrelid."""
@@ -86,7 +88,7 @@ def reconciled(old: DataFrame, fresh: DataFrame) -> DataFrame:
 
 def routed(records: DataFrame, descriptors: DataFrame) -> DataFrame:
     """Records of tracked relations with their table; all others go before any tuple is decoded."""
-    return records.join(F.broadcast(descriptors), "relfilenode")  # one row a tracked table
+    return records.join(small(descriptors), "relfilenode")
 
 
 def gaps(states: DataFrame, first_lsn: int) -> DataFrame:

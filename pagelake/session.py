@@ -8,6 +8,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Folders that shared_path() has named, and tables that bucketed() has.
 _made: list[str] = []
@@ -70,9 +71,14 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     called = f"{name}_{uuid.uuid4().hex}"
     _tables.append(called)
-    df.repartition(n, key).write.bucketBy(n, key).option("path", path).format("parquet").saveAsTable(called)
+    df.repartition(n, key).write.bucketBy(n, key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(called)
     return spark.table(called)
 
 
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df, marked for a broadcast if it has no more rows than that; beyond, joins shuffle it."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -6,6 +6,7 @@ import os
 import random
 import struct
 import time
+import types
 import urllib.error
 import urllib.request
 
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 import __spark_entry__
+from pagelake import session
 from pagelake.codec import bits, files, heap, values, wal
 from pagelake.codec.heap import Column
 from pagelake.functions import register as functions
@@ -966,6 +968,31 @@ def test_staged_tables_are_released(spark):
     assert not os.path.exists(path)
 
 
+def test_a_cluster_names_its_shared_folder():
+    none = types.SimpleNamespace(get=lambda *_: None)
+    on = lambda master: types.SimpleNamespace(conf=none, sparkContext=types.SimpleNamespace(getConf=lambda: none, getCheckpointDir=lambda: None, master=master))
+    for master in ("yarn", "spark://h:1", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            session.shared_dir(on(master))
+
+
+def test_bucketed_tables_join_without_a_shuffle_of_their_rows(spark):
+    rows = session.bucketed(spark.range(1000).withColumn("t", F.lit("x")), "numbers", "id")
+    marks = spark.range(0, 1000, 3).groupBy("id").agg(F.count("*").alias("n"))
+    joined = rows.join(marks.hint("merge"), "id", "left")
+    assert joined.where("n = 1").count() == 334 and joined.count() == 1000
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan
+    name = session._tables[-1]
+    session.release(spark)
+    assert not spark.catalog.tableExists(name)
+
+
+def test_broadcasts_are_checked(spark):
+    assert "broadcast" in session.small(spark.range(50), 60)._jdf.queryExecution().logical().toString().lower()
+    assert "broadcast" not in session.small(spark.range(50), 40)._jdf.queryExecution().logical().toString().lower()
+
+
 def test_config_from_environment():
     c = Config.from_env({"PAGELAKE_FLUSH_ROWS": "7", "PAGELAKE_VACUUM_MINUTES": "off", "PAGELAKE_SNAPSHOT": "0", "PAGELAKE_TAIL_SECONDS": "1.5"})
     assert (c.flush_rows, c.vacuum_minutes, c.snapshot, c.tail_seconds, c.compact_rows) == (7, None, False, 1.5, 1_000_000)
