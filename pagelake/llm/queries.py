@@ -80,4 +80,55 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_relational_chat": op10_relational_chat,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_SPACES = "[\\x20\\x09-\\x0D]+"
+
+
+def _op3_sql(window: int = substrings.WINDOW) -> str:
+    """Windows as strings, as no word holds a space; a word goes if a repeated window starts so near before it."""
+    return f"""with docs as (select row_number() over () as r, doc_id, regexp_split_to_array(coalesce(text, ''), '{_SPACES}') as l from documents),
+    split as (select r, unnest(l) as w, generate_subscripts(l, 1) as i from docs),
+    words as (select r, w, row_number() over (partition by r order by i) as i from split where w <> ''),
+    lists as (select r, list(w order by i) as l from words group by r),
+    starts as (select r, unnest(range(1, len(l) - {window - 2})) as i, l from lists where len(l) >= {window}),
+    windows as (select r, i, array_to_string(l[i:i + {window - 1}], ' ') as x from starts),
+    twice as (select x from windows group by x having count(*) > 1),
+    hits as (select r, i from windows semi join twice using (x)),
+    marked as (select w.r, w.i, w.w, coalesce(max(h.i) over (partition by w.r order by w.i) > w.i - {window}, false) as gone from words w left join hits h using (r, i))
+    select doc_id, count(m.i) as n_words, count(*) filter (gone) as n_removed, sha256(coalesce(string_agg(w, ' ' order by i) filter (not gone), '')) as kept_sha256
+    from docs left join marked m using (r) group by r, doc_id"""
+
+
+def _op4_sql() -> str:
+    """Each rule's matches, placed by the lengths of what lies before them."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    parts, found = [], []
+    for i, r in enumerate(secrets.RULES):
+        p = quoted(r.pattern)
+        parts.append(f"""m{i} as (select r, generate_subscripts(m, 1) as j, unnest(m) as x, unnest(g) as g, unnest(b[1:len(m)]) as b from
+        (select r, regexp_extract_all(t, {p}, 0) as m, regexp_extract_all(t, {p}, {r.group}) as g, string_split_regex(t, {p}) as b from docs where regexp_matches(t, {p})))""")
+        found.append(f"""select r, {i} as place, '{r.kind}' as kind, sum(length(b) + length(x)) over (partition by r order by j) - length(x) as a, sum(length(b) + length(x)) over (partition by r order by j) as z, length(g) >= {r.least} as counts from m{i}""")
+    line = "kind || ':' || a::bigint || ':' || z::bigint"
+    base = len(secrets.BASE)
+    counts = ", ".join(f"count(*) filter (place = {i}) as n_{r.kind}" for i, r in enumerate(secrets.BASE))
+    return f"""with docs as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents), {", ".join(parts)}, spans as (select * from ({" union all ".join(found)}) where counts)
+    select doc_id, {counts}, sha256(coalesce(string_agg({line}, ',' order by a, place) filter (place < {base}), '')) as base_sha256, coalesce(string_agg({line}, ',' order by a, place), '') as spans
+    from docs left join spans using (r) group by r, doc_id"""
+
+
+def _op10_sql() -> str:
+    def escaped(x: str) -> str:
+        return f"replace(replace({x}, '<', '<\\'), '[', '[\\')"
+
+    size = len(chat.OPEN) + len(chat.SHUT)
+    return f"""with turns as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+      union all select * from (values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+    ordered as (select *, row_number() over w as k, lag(role) over w as before, lead(role) over w as after from turns window w as (partition by conv_id order by turn nulls first, role, text)),
+    sized as (select *, case when before is distinct from role then {size} + length(replace({escaped("role")}, chr(10), '[n')) else {len(chat.NEXT)} end
+      + length({escaped("text")}) + case when after is distinct from role then {len(chat.END)} else 0 end as n from ordered)
+    select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by k)) as turns_sha256,
+      cast(coalesce(sum(length(text)) filter (role = '{chat.LEARN}'), 0) as bigint) as loss_chars, sha256(coalesce(string_agg(text, '' order by k) filter (role = '{chat.LEARN}'), '')) as loss_sha256,
+      cast(sum(n) as bigint) as formatted_chars from sized group by conv_id"""
+
+
+#: DuckDB SQL of those whose rows SQL can give. Tokenizers, XXH64, sounds and fitted models are beyond it.
+ORACLE_SQL: dict[str, str] = {"op3_debruijn_substrings": _op3_sql(), "op4_trigram_secrets": _op4_sql(), "op10_relational_chat": _op10_sql()}
