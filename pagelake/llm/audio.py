@@ -15,7 +15,9 @@ Recordings of equal fingerprints are one class, searched once, so a group of cop
 costs one search. Stated queries alone ask; queries and classes meet in blocks, each with each.
 
 A null, empty or undecodable recording, and one shorter than a filter, has an empty fingerprint and
-no links. Repeated rows belong to one class; a null id is kept.
+no links. Repeated rows belong to one class; a null id is kept. Of equally good offsets the smallest
+shift counts, of equally good partners the smallest id. An empty table gives no rows; long recordings
+are taken whole. Only the id and the recording are read, so further columns may have any name.
 """
 
 from __future__ import annotations
@@ -219,8 +221,8 @@ def search(prints: DataFrame, id_column: str, query: str) -> DataFrame:
     which one has a query at least; n_links counts a class's, best_id is the linked class with the
     smallest share of bit errors (ties: smaller id). shift: frames by which the best starts later.
     """
-    rows = staged(prints.select(F.col(id_column).alias("id"), "prints", F.sha2(F.array_join(F.col("prints").cast("array<string>"), ","), 256).alias("h")), "prints")
-    own = rows.groupBy("h").agg(F.min("id").alias("class_id"), F.max(F.coalesce(F.expr(query.replace(id_column, "id")), F.lit(False))).alias("asks"), F.min_by("prints", "id").alias("p"))
+    rows = staged(prints.select(F.col(id_column).alias("id"), "prints", F.expr(query).alias("asks"), F.sha2(F.array_join(F.col("prints").cast("array<string>"), ","), 256).alias("h")), "prints")
+    own = rows.groupBy("h").agg(F.min("id").alias("class_id"), F.max(F.coalesce("asks", F.lit(False))).alias("asks"), F.min_by("prints", "id").alias("p"))
     classes = staged(own.select("class_id", "asks", F.coalesce("p", F.expr("cast(array() as array<int>)")).alias("p"), "h"), "classes")
     counts = classes.agg(F.count("*").alias("n"), F.count_if("asks").alias("asks")).first()
     full = classes.where("class_id is not null and size(p) > 0")

@@ -26,52 +26,127 @@ def recordings():
     return {k: audio.write_wave(v) for k, v in out.items()}
 
 
+def brute_align(p, q):
+    """(shift, size, errors) of the best offset at which two recordings match, offset by offset; or None."""
+    best = None
+    move_p, move_q = ([i == 0 or x[i] != x[i - 1] for i in range(len(x))] for x in (p, q))
+    for shift in range(1 - len(q), len(p)):
+        low = max(0, shift)
+        size = min(len(p), len(q) + shift) - low
+        a, b = p[low : low + size], q[low - shift : low - shift + size]
+        errors = int(np.bitwise_count(a ^ b).sum())
+        if errors > audio.ERRORS * 32 * size:
+            continue
+        whole = size == min(len(p), len(q))
+        changes = min(sum(move_p[low : low + size]), sum(move_q[low - shift : low - shift + size]))
+        same = a == b
+        votes = sum(s and x and y for s, x, y in zip(same.tolist(), move_p[low : low + size], move_q[low - shift : low - shift + size], strict=True))
+        long = size >= audio.WIDTH and (whole or changes >= audio.VOTES)
+        if long or votes >= audio.VOTES or whole and int(same.sum()) >= min(audio.VOTES, size):
+            rank = (errors - 16 * size, abs(shift), shift)
+            if best is None or rank < best[0]:
+                best = rank, shift, size, errors
+    return best and best[1:]
+
+
 def brute_search(prints, asks):
-    """All pairs of classes, all offsets."""
+    """Class of each recording, and of each linked pair of classes (a < b where both ask, else a asks) its alignment."""
     classes = {}
     for k, p in sorted(prints.items()):
         classes.setdefault(p.tobytes(), []).append(k)
     own = {ks[0]: np.frombuffer(p, np.uint32) for p, ks in classes.items()}
     asking = {ks[0] for ks in classes.values() if any(asks(k) for k in ks)}
-    links = set()
-    for a in own:
+    links = {}
+    for a in asking:
         for b in own:
-            if a >= b or not {a, b} & asking:
-                continue
-            moved = lambda p: [i for i in range(len(p)) if i == 0 or p[i] != p[i - 1]]
-            votes = {}
-            for i in moved(own[a]):
-                for j in moved(own[b]):
-                    if own[a][i] == own[b][j]:
-                        votes[i - j] = votes.get(i - j, 0) + 1
-            votes = {s: v for s, v in votes.items() if v >= audio.VOTES}
-            if votes:
-                x, y = (a, b) if a in asking else (b, a)
-                sign = 1 if x == a else -1
-                s = max(votes, key=lambda s: (votes[s], -abs(s), s * sign))
-                low = max(0, s)
-                size = min(len(own[a]), len(own[b]) + s) - low
-                if size > 0 and np.bitwise_count(own[a][low : low + size] ^ own[b][low - s : low - s + size]).sum() <= audio.ERRORS * 32 * size:
-                    links.add((a, b))
+            if a != b and len(own[a]) and len(own[b]) and not (b in asking and b < a) and (got := brute_align(own[a], own[b])):
+                links[a, b] = got
     return {k: ks[0] for ks in classes.values() for k in ks}, links
 
 
+def check_search(rows, prints, asks):
+    own, links = brute_search({r.id: np.array(r.prints, np.int32).view(np.uint32) for r in prints.collect()}, asks)
+    each = defaultdict(list)
+    for (a, b), (shift, size, errors) in links.items():
+        each[a].append((errors / size, b, shift, errors, size))
+        each[b].append((errors / size, a, -shift, errors, size))
+    for k, r in rows.items():
+        best = min(each[own[k]], default=(None,) * 5)
+        assert (r.class_id, r.n_links, r.best_id, r["shift"], r.bit_errors, r.frames) == (own[k], len(each[own[k]]), *best[1:])
+    return links
+
+
 def test_op6_operator_aligns_recordings(spark, recordings):
     df = spark.createDataFrame([*recordings.items(), (30, b"no wave"), (31, None), (32, audio.write_wave(np.zeros(100)))], "id long, media binary")
     prints = audio.fingerprints(df, "id", "media")
     rows = {r.id: r for r in audio.search(prints, "id", "id % 20 = 0").collect()}
-    own, links = brute_search({r.id: np.array(r.prints, np.int32).view(np.uint32) for r in prints.collect()}, lambda k: k % 20 == 0)
-    assert {k: r.class_id for k, r in rows.items()} == own
-    count = {k: sum(c in pair for pair in links) for k, c in own.items()}
-    assert {k: r.n_links for k, r in rows.items()} == count
+    check_search(rows, prints, lambda k: k % 20 == 0)
     assert rows[22].best_id == 20 and rows[22]["shift"] == -20 and rows[23].best_id == 20 and rows[23]["shift"] == 0
     assert rows[42].n_links == 0 and rows[30].n_frames == 0 and rows[21].class_id == 20
     assert audio.search(prints.limit(0), "id", "id % 20 = 0").collect() == []
 
 
-def test_op6_returns_every_recording(spark):
-    rows = QUERIES["op6_chroma_fingerprints"](spark, "/root/testdata/sf0.001").collect()
-    assert len(rows) == len({r.vec_id for r in rows}) == spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()
+def test_op6_equals_brute_force(spark):
+    """The query itself, over every vector of a small table."""
+    vectors = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    prints = audio.fingerprints(vectors, "vec_id", "embedding", audio.melody).withColumnRenamed("vec_id", "id")
+    rows = {r.vec_id: r for r in QUERIES["op6_chroma_fingerprints"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(rows) == vectors.count() and check_search(rows, prints, lambda k: k % 20 == 0)
+
+
+def brute_print(samples):
+    """Every filter by plain sums over its rectangles."""
+    frames = audio.chroma(samples, audio.RATE)
+    wide = np.hstack([frames, frames])
+    out = []
+    for t in range(len(frames) - audio.WIDTH + 1):
+        x = 0
+        for kind, p, h, w in audio.bank():
+            f = wide[t : t + w]
+            m, q, third = w // 2, p + h // 2, w // 4
+            if kind == 0:
+                a, b = f[:, p : p + h].sum() * (12 - h) / h, f[:, :12].sum() - f[:, p : p + h].sum()
+            elif kind == 1:
+                a, b = f[:, p:q].sum() * (h - h // 2) / max(h // 2, 1), f[:, q : p + h].sum()
+            elif kind == 2:
+                a, b = f[:m, p : p + h].sum(), f[m:, p : p + h].sum()
+            elif kind == 3:
+                a, b = f[:m, p:q].sum() + f[m:, q : p + h].sum(), f[m:, p:q].sum() + f[:m, q : p + h].sum()
+            else:
+                a, b = f[third : w - third, p : p + h].sum(), f[:third, p : p + h].sum() + f[w - third :, p : p + h].sum()
+            level = sum(math.log((a + 0.1) / (max(b, 0) + 0.1)) >= step for step in audio.STEPS)
+            x = x << 2 | (level ^ level >> 1)
+        out.append(x)
+    return np.array(out, np.uint32)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_filters_equal_plain_sums(seed):
+    samples = tune(seed, 30) + np.random.default_rng(seed).normal(0, 300, len(tune(seed, 30)))
+    got, want = audio.fingerprint(samples, audio.RATE), brute_print(samples)
+    assert len(got) == len(want) and np.bitwise_count(got ^ want).sum() <= 2  # a sum that lies on a step may round to either side
+
+
+def test_op6_recall_on_recordings(spark):
+    """Noisy, later and shorter versions of tunes among strangers; of at least 0.9 the original is found."""
+    rng = np.random.default_rng(5)
+    out, truth = {}, {}
+    for i in range(25):
+        t = tune(100 + i, 80)
+        out[1000 * i] = t
+        versions = [t + rng.normal(0, 1500, len(t)), np.r_[rng.normal(0, 300, audio.HOP * 37 + 100), t], t[len(t) // 3 :], t[: len(t) // 2] * 0.2, t[audio.RATE :][: 6 * audio.RATE] + rng.normal(0, 500, 6 * audio.RATE)]
+        for k, v in enumerate(versions, 1):
+            out[1000 * i + k] = v
+            truth[1000 * i + k] = 1000 * i
+    rows = {r.id: r for r in audio.search(audio.fingerprints(spark.createDataFrame([(k, audio.write_wave(v)) for k, v in out.items()], "id long, media binary"), "id", "media"), "id", "id % 1000 = 0").collect()}
+    recall = sum(rows[k].best_id == a for k, a in truth.items()) / len(truth)
+    assert recall >= 0.9, recall
+
+
+def test_a_long_recording_is_taken_whole(spark):
+    t = tune(9, 4000)  # over eight minutes
+    rows = {r.id: r for r in audio.search(audio.fingerprints(spark.createDataFrame([(0, audio.write_wave(t)), (1, audio.write_wave(t[len(t) - 20 * audio.RATE :]))], "id long, media binary"), "id", "media"), "id", "id = 0").collect()}
+    assert rows[1].best_id == 0 and rows[0].n_frames > 5000 and abs(rows[1]["shift"] + (len(t) - 20 * audio.RATE) / audio.HOP) <= 1
 
 
 def test_integral_image_equals_plain_sums():
