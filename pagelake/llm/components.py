@@ -29,8 +29,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that an edge (a, b) touches; the root is the smallest node reached.
 
-    Minima are pre-aggregated, and no node's neighbours are ever collected; rounds are written to
-    the shared folder, so that lineage stays short. Self-loops and repeated edges are fine.
+    Minima are pre-aggregated, and no node's neighbours are ever collected: of the join that hands them
+    out, the side of many rows a node is the left one, which adaptive execution splits where a hub's
+    partition is skewed. Rounds are written to the shared folder, so that lineage stays short. Self-loops
+    and repeated edges are fine; no edges give no rows.
     """
     now, seen = staged(_flat(edges), "edges"), None
     while True:

@@ -8,7 +8,9 @@ from all others and without a shuffle. The unfinished sequences of a worker hold
 pieces a class; those of GROUP workers together are packed by first-fit decreasing.
 
 Nulls: a null text is an empty document (the end id alone); a null doc_id is kept. Each row is a
-document, also when repeated. An empty table gives no piece.
+document, also when repeated. An empty table gives no piece. A very long text is cut to as many whole
+sequences as it fills. Pieces of equal length fill a class in the order in which they come, in the rest by
+worker, id and start. Only the id and the text are read, so further columns may have any name.
 """
 
 from __future__ import annotations

@@ -1,7 +1,9 @@
 """SentencePiece encoding and decoding (BPE models) by vectorised merge rounds.
 
 Nulls: a null text encodes as an empty one and decodes to an empty string. An empty text has no
-ids. Repeated rows give repeated results; a null id is kept. Further columns are not read.
+ids. Repeated rows give repeated results; a null id is kept; an empty table gives no rows. Of pairs of
+equal rank in a word the leftmost merges first, as in the library. Texts and words of any length are
+taken whole. Only the id and the text are read, so further columns may have any name.
 """
 
 from __future__ import annotations
