@@ -15,7 +15,8 @@ leaves no half-written file; (part, first) gives their order. Within a part, doc
 doc_id (null first, ties by text), and parts ascend too.
 
 Nulls: a null text is an empty one, a null doc_id is kept. Each row of the input is one document,
-also when repeated. An empty table gives no shard.
+also when repeated. An empty table gives no shard. A very long text is a shard of its own. Only the id
+and the text are read, so further columns may have any name.
 """
 
 from __future__ import annotations
@@ -44,14 +45,32 @@ SHARD = 1 << 20
 
 def _widths(ids: np.ndarray) -> np.ndarray:
     """Bits that each id needs, 1 at least."""
-    w = np.ones(len(ids), np.int64)
-    x = ids >> np.uint64(1)
-    while x.any():
-        w += x > 0
-        x = x >> np.uint64(1)
+    w = np.maximum(np.frexp(ids.astype(np.float64))[1], 1).astype(np.uint8)
+    large = np.flatnonzero(ids >> np.uint64(53))  # beyond what a double holds exactly
+    w[large] = [int(x).bit_length() for x in ids[large].tolist()]
     return w
 
 
+def _selectors(width: np.ndarray, block: int) -> np.ndarray:
+    """Of each id the selector with most ids of which all from it on fit, within its block."""
+    n, longest = len(width), int(COUNTS[0])
+    rows = -(-n // block)
+    # behind a block nothing fits, so a selector never reaches into the next one
+    padded = np.full((rows, block + longest), 255, np.uint8)
+    flat = np.full(rows * block, 255, np.uint8)
+    flat[:n] = width
+    padded[:, :block] = flat.reshape(rows, block)
+    best = np.full((rows, block), len(COUNTS) - 1, np.uint8)
+    most, span = padded, 1  # the widest of so many ids from each on
+    for s in range(len(COUNTS) - 2, -1, -1):
+        while span < COUNTS[s]:
+            step = min(span, int(COUNTS[s]) - span)
+            most = np.maximum(most[:, : most.shape[1] - step], most[:, step:])
+            span += step
+        best[most[:, :block] <= WIDTHS[s]] = s
+    return best.reshape(-1)[:n]
+
+
 def pack_words(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words, each block's first word (and the end), exceptions."""
     ids = ids.astype(np.uint64)
@@ -59,15 +78,8 @@ def pack_words(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndar
     if not n:
         return np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint64)
     width = _widths(ids)
-    place = np.arange(n)
-    limit = np.minimum((place // block + 1) * block, n)
-    # the selector with most ids whose next ids all fit; short words only end a block
-    best = np.full(n, len(COUNTS) - 1, np.int8)
-    for s in range(len(COUNTS) - 2, -1, -1):
-        wide = np.where(width > WIDTHS[s], place, n)
-        clear = np.minimum.accumulate(wide[::-1])[::-1] - place
-        best[(clear >= COUNTS[s]) & (place + COUNTS[s] <= limit)] = s
-    step = COUNTS[best]
+    best = _selectors(width, block)
+    step = COUNTS.astype(np.uint8)[best]
     at = np.arange(0, n, block)
     end = np.minimum(at + block, n)
     begun = []
