@@ -11,9 +11,14 @@ minimizer meets all occurrences of an edge, and paths that meet under it are joi
   - a minimizer that occurs once ends a path: none of its edges is repeated.
 Repeated edges become spans of source coordinates, whose words are removed.
 
-Before a shuffle, a task combines paths that it has met itself: they are known to be repeated, and
-one of them alone goes on for the others, so a passage that a third of all texts hold reaches the
-joining task a few times for each task, not once for each text.
+What a path or an edge is compared by is a 128-bit digest (XXH3) of its own bytes, taken from the text at its
+coordinates. Minimizers are compared by 64-bit hashes of word hashes, but only to meet: two that
+collide make a branch, which is resolved by its edges.
+
+Texts are written once, each row under a number of its own and dealt out by it, so the joins that take
+places back to texts shuffle the places alone. Before a shuffle, a task combines paths that it has met
+itself: they are known to be repeated, and one of them alone goes on for the others, so a passage that
+a third of all texts hold reaches the joining task a few times for each task, not once for each text.
 
 Words are [^\\x20\\x09-\\x0D]+, unchanged. A null or empty text has no words. A repeated row counts as
 another document, and a null id is kept; all occurrences of a passage are treated alike, so there are
@@ -29,26 +34,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from pagelake.llm.arrow import map_rows, sliced
-from pagelake.session import staged
+from pagelake.llm.arrow import sliced
+from pagelake.session import bucketed, staged
 
 WINDOW = 35
 KMER = 20
 #: Paths that a task holds to combine.
 HOLD = 400_000
 
-#: Column that names a row by its id and text; a repeated row shares it, and its fate. A place holds 23
-#: bits more of the text's hash, by which rows of one key are told apart.
+#: Column that numbers a row.
 KEY = "__row"
-_FIRST, _CHECK = (1 << 32) - 1, 40
 REPEATED, BRANCH, OTHER = 0, 1, 2
+#: Rows of an output batch.
+ROWS = 1 << 16
 
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_A = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Words(dict):
@@ -86,134 +91,150 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Text:
-    """A text's words, and hashes of any of its spans."""
+    """A text's words, hashes of the sequences that start at each word, and digests of any of its spans."""
 
     def __init__(self, text: str | None):
-        raw = (text or "").encode()
-        self.words = raw.split()
+        self.words = (text or "").encode().split()
         self.n = len(self.words)
-        self.check = xxhash.xxh32_intdigest(raw, 3) >> 9
-
-    def own(self, places: np.ndarray) -> np.ndarray:
-        """Places of this text, without those of another text of the same key."""
-        return places[places >> _CHECK == self.check]
-
-    def hashes(self) -> np.ndarray:
-        return np.fromiter(map(_WORDS.__getitem__, self.words), np.uint64, self.n)
 
-    def spans(self, hashes: np.ndarray, base: np.uint64, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        power, inverse = _powers(base, self.n + 1)
+    def sequences(self, k: int) -> np.ndarray:
+        """A hash of each k words."""
+        hashes = np.fromiter(map(_WORDS.__getitem__, self.words), np.uint64, self.n)
+        power, inverse = _powers(_A, self.n + 1)
         total = np.zeros(self.n + 1, np.uint64)
         np.cumsum(hashes * power[: self.n], out=total[1:])
-        return _mixed((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+        at = np.arange(self.n - k + 1)
+        return _mixed((total[at + k] - total[at]) * inverse[at])
+
+    def digests(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Two 64-bit halves of the digest of the words of each span, which isn't empty."""
+        joined, digest = b" ".join(self.words), xxhash.xxh3_128_digest
+        ends = np.cumsum(np.fromiter(map(len, self.words), np.int64, self.n) + 1)
+        a, b = np.r_[0, ends[:-1]][start].tolist(), (ends[end - 1] - 1).tolist()
+        return np.frombuffer(b"".join([digest(joined[x:y]) for x, y in zip(a, b, strict=True)]), "<i8").reshape(-1, 2)
 
 
 def paths(text: Text, window: int = WINDOW, kmer: int = KMER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Minimizer, content, first edge and number of edges of each compacted path."""
     if text.n < window:
-        empty = np.zeros(0, np.uint64)
-        return empty, empty, empty.astype(np.int64), empty.astype(np.int64)
-    hashes = text.hashes()
-    at = np.arange(text.n - kmer + 1)
-    small = text.spans(hashes, _A, at, at + kmer)
+        return np.zeros(0, np.int64), np.zeros((0, 2), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    small = text.sequences(kmer)
     low = np.lib.stride_tricks.sliding_window_view(small, window - kmer + 1).argmin(axis=1) + np.arange(text.n - window + 1)
     first = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
     count = np.diff(np.r_[first, len(low)])
-    return small[low[first]], text.spans(hashes, _B, first, first + count - 1 + window), first, count
+    return small[low[first]].view(np.int64), text.digests(first, first + count - 1 + window), first, count
 
 
-def _combine(ids: np.ndarray, contents: np.ndarray, keys: np.ndarray, places: np.ndarray) -> Iterator[tuple]:
-    """Rows of a task, of which those with equal content are known to be repeated and one goes on."""
-    order = np.lexsort((contents, ids))
-    ids, contents, keys, places = (a[order] for a in (ids, contents, keys, places))
-    new = np.r_[True, (ids[1:] != ids[:-1]) | (contents[1:] != contents[:-1])]
-    start = np.flatnonzero(new)
-    many = np.repeat(np.diff(np.r_[start, len(ids)]) > 1, np.diff(np.r_[start, len(ids)]))
-    # decided rows travel under a number of their own, which spreads them
-    deal = np.where(new, ids, _mixed(keys.view(np.uint64) + places.astype(np.uint64)))
-    rows = (deal.view(np.int64), contents.view(np.int64), keys, places, (~new).astype(np.int8) * 2 + many.astype(np.int8))
-    yield from zip(*(a.tolist() for a in rows), strict=True)
+#: Dealt out by deal; a and b are the halves of a digest. flag: 1 is known to be repeated, 2 needs no more meeting.
+_DEALT = "deal long, a long, b long, row long, place long, flag byte"
+_MET = "row long, place long, kind byte"
 
 
-_ROWS = "deal long, content long, row long, place long, flag byte"
+def _batches(arrays: list[np.ndarray], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(arrays[0]), ROWS):
+        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + ROWS], f.type) for x, f in zip(arrays, schema, strict=True)], schema=schema)
 
 
 class _Pool:
-    """Collects paths or edges of a task until HOLD, then combines them."""
+    """Collects paths or edges of a task until HOLD and then combines them: of those with equal content one
+    goes on, and all are known to be repeated."""
 
-    def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, ...]] = []
-        self.size = 0
+    def __init__(self, schema: pa.Schema) -> None:
+        self.schema, self.parts, self.size = schema, [], 0
 
-    def add(self, key: int, check: int, ids: np.ndarray, contents: np.ndarray, first: np.ndarray, count: np.ndarray) -> Iterator[tuple]:
-        if not len(ids):
+    def add(self, row: int, deal: np.ndarray, content: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(deal):
             return
-        self.parts.append((ids, contents, np.full(len(ids), key, np.int64), check << _CHECK | first << 8 | count))
-        self.size += len(ids)
+        self.parts.append((deal, content[:, 0], content[:, 1], np.full(len(deal), row, np.int64), place))
+        self.size += len(deal)
         if self.size >= HOLD:
             yield from self.flush()
 
-    def flush(self) -> Iterator[tuple]:
+    def flush(self) -> Iterator[pa.RecordBatch]:
         if self.parts:
-            yield from _combine(*(np.concatenate(a) for a in zip(*self.parts, strict=True)))
+            deal, a, b, row, place = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+            order = np.lexsort((b, a, deal))
+            new = _changes(deal[order], a[order], b[order])
+            sizes = np.diff(np.r_[np.flatnonzero(new), len(order)])
+            flag = np.empty(len(order), np.int8)
+            flag[order] = (~new).astype(np.int8) * 2 + np.repeat(sizes > 1, sizes).astype(np.int8)
+            # decided rows travel under a number of their own, which spreads them
+            deal = np.where(flag & 2, _mixed(row.view(np.uint64) + place.view(np.uint64)).view(np.int64), deal)
+            yield from _batches([deal, a, b, row, place, flag], self.schema)
         self.parts, self.size = [], 0
 
 
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where any column differs from the row before; the first row does."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for x in columns:
+        out[1:] |= x[1:] != x[:-1]
+    return out
+
+
+class _Meeting:
+    """Judges rows that pass by in order of (deal, content). Of what is still open only the first row of
+    the last content is kept, and whether its deal had another content before."""
+
+    def __init__(self) -> None:
+        self.head: np.ndarray | None = None  # deal, a, b, row, place of the open content's first row
+        self.repeated = self.told = self.many = False
+
+    def take(self, columns: list[np.ndarray], flag: np.ndarray, *, last: bool = False) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """(row, place, kind) as arrays for each kind; last: no rows follow."""
+        done = flag & 2 != 0
+        out = [(columns[3][done], columns[4][done], REPEATED)]
+        columns, known = [x[~done] for x in columns], flag[~done] & 1 != 0
+        if kept := self.head is not None:
+            columns, known = [np.r_[h, x] for h, x in zip(self.head, columns, strict=True)], np.r_[self.repeated, known]
+        n = len(columns[0])
+        if not n:
+            return out
+        start = np.flatnonzero(_changes(*columns[:3]))
+        size = np.diff(np.r_[start, n])
+        repeated = (size > 1) | np.logical_or.reduceat(known, start)
+        new_deal = _changes(columns[0][start])
+        before = ~new_deal
+        before[0] = kept and self.many
+        many = before | np.r_[~new_deal[1:], False]
+        emit = np.repeat(repeated, size)
+        if kept and self.told:
+            emit[0] = False
+        out.append((columns[3][emit], columns[4][emit], REPEATED))
+        closed = np.ones(len(start), bool)
+        closed[-1] = last
+        for kind, rule in ((OTHER, repeated), (BRANCH, ~repeated)):
+            heads = start[closed & many & rule]
+            out.append((columns[3][heads], columns[4][heads], kind))
+        at = start[-1]
+        self.head = None if last else np.array([x[at] for x in columns], np.int64)
+        self.repeated = self.told = bool(repeated[-1])
+        self.many = bool(before[-1])
+        return out
+
+
 def _judged(rows: DataFrame) -> DataFrame:
-    """(row, place, kind) of paths that meet others: REPEATED, BRANCH, or OTHER (what a branch is
-    held against). Rows stream by in order of (deal, content); a few values are all that is kept."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        deal = content = None
-        # the open content: its first row if not told yet, and if it is repeated; contents of this deal so far
-        head: tuple[int, int] | None = None
-        repeated, others = False, 0
-        waiting: tuple[int, int, int] | None = None
-
-        def close() -> Iterator[tuple]:
-            """The open content ends; whether it branches shows when a second content comes."""
-            nonlocal waiting
-            if head is not None:
-                row = (*head, OTHER if repeated else BRANCH)
-                if others:
-                    if waiting:
-                        yield waiting
-                        waiting = None
-                    yield row
-                else:
-                    waiting = row
+    """(row, place, kind) of paths or edges that meet others: REPEATED, BRANCH, or OTHER (what a branch is held against)."""
+    schema = StructType.fromDDL(_MET)
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        meeting = _Meeting()
+
+        def rows_of(found: list[tuple[np.ndarray, np.ndarray, int]]) -> Iterator[pa.RecordBatch]:
+            columns = [np.concatenate(x) for x in zip(*((r, p, np.full(len(r), kind, np.int8)) for r, p, kind in found), strict=True)]
+            yield from _batches(columns, arrow)
 
         for batch in batches:
-            for d, c, row, place, flag in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if flag & 2:
-                    yield row, place, REPEATED
-                    continue
-                if d != deal:
-                    yield from close()
-                    deal, content, head, repeated, others, waiting = d, c, (row, place), bool(flag & 1), 0, None
-                    if repeated:
-                        yield row, place, REPEATED
-                elif c != content:
-                    yield from close()
-                    others += 1
-                    content, head, repeated = c, (row, place), bool(flag & 1)
-                    if repeated:
-                        yield row, place, REPEATED
-                else:
-                    if not repeated:
-                        yield *head, REPEATED
-                        repeated = True
-                    yield row, place, REPEATED
-        yield from close()
-
-    dealt = rows.repartition("deal").sortWithinPartitions("deal", "content")
-    return map_rows(dealt, run, "row long, place long, kind byte")
-
-
-def _keyed(docs: DataFrame, id_column: str, text_column: str, *carried: Column) -> DataFrame:
-    """KEY and __text, and what else is carried."""
-    key = F.xxhash64(F.col(f"`{id_column}`").cast("string"), F.lit("\x1f"), F.col(f"`{text_column}`"))
-    return docs.select(key.alias(KEY), F.col(f"`{text_column}`").alias("__text"), *carried)
+            *columns, flag = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            yield from rows_of(meeting.take(columns, flag))
+        nothing = np.zeros(0, np.int64)
+        yield from rows_of(meeting.take([nothing] * 5, nothing.astype(np.int8), last=True))
+        pa.default_memory_pool().release_unused()
+
+    dealt = rows.repartition("deal").sortWithinPartitions("deal", "a", "b")
+    return dealt.mapInArrow(run, schema)
 
 
 def _places(rows: DataFrame) -> DataFrame:
@@ -221,37 +242,42 @@ def _places(rows: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("row").alias(KEY)).agg(F.collect_set("place").alias("__places"))
 
 
-def repeated(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(row, place): edges check << 40 | first << 8 | count of a row that occur elsewhere too."""
-    texts = _keyed(docs, id_column, text_column)
+def _texts(docs: DataFrame, text_column: str) -> DataFrame:
+    """Numbered rows: KEY, __text, and as row all other columns. Written once, so a number never changes."""
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_column))
+    return bucketed(docs.select(F.monotonically_increasing_id().alias(KEY), F.col(f"`{text_column}`").alias("__text"), rest.alias("row")), "texts", KEY)
+
+
+def repeated(texts: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
+    """(row, place): edges first << 8 | count of numbered texts (KEY, __text) that occur elsewhere too."""
+    dealt = StructType.fromDDL(_DEALT)
+    arrow = to_arrow_schema(dealt)
 
-    def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        pool = _Pool()
+    def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool = _Pool(arrow)
         for batch in batches:
-            for key, text in zip(batch.column(0), batch.column(1), strict=True):
-                t = Text(text.as_py())
-                yield from pool.add(key.as_py(), t.check, *paths(t, window, kmer))
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                deal, content, first, count = paths(Text(text.as_py()), window, kmer)
+                yield from pool.add(key, deal, content, first << 8 | count)
         yield from pool.flush()
+        pa.default_memory_pool().release_unused()
 
-    judged = staged(_judged(map_rows(texts, compact, _ROWS)), "paths")
+    judged = staged(_judged(texts.select(KEY, "__text").mapInArrow(compact, dealt)), "paths")
 
-    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        pool = _Pool()
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool = _Pool(arrow)
         for batch in batches:
-            for key, text, places in zip(*batch.columns, strict=True):
-                t = Text(text.as_py())
-                place = t.own(np.array(places.as_py(), np.int64))
-                if not len(place):
-                    continue
-                first, count = place >> 8 & _FIRST, place & 255
+            for key, text, places in zip(batch.column(0).to_pylist(), *batch.columns[1:], strict=True):
+                place = places.values.to_numpy()
+                first, count = place >> 8, place & 255
                 start = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
-                hashes = t.hashes()
-                ids, contents = (t.spans(hashes, base, start, start + window) for base in (_A, _B))
-                yield from pool.add(key.as_py(), t.check, ids, contents, start, np.ones(len(start), np.int64))
+                content = Text(text.as_py()).digests(start, start + window)
+                yield from pool.add(key, content[:, 0], content, start << 8 | 1)
         yield from pool.flush()
+        pa.default_memory_pool().release_unused()
 
     branches = _places(judged.where(F.col("kind") != REPEATED))
-    met = _judged(map_rows(texts.join(branches, KEY).select(KEY, "__text", "__places"), edges, _ROWS))
+    met = _judged(texts.join(branches, KEY).select(KEY, "__text", "__places").mapInArrow(edges, dealt))
     met = met.where(F.col("kind") == REPEATED)
     return judged.where(F.col("kind") == REPEATED).unionByName(met).select("row", "place")
 
@@ -259,19 +285,18 @@ def repeated(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, id_column:
 def covered(n: int, places: np.ndarray, window: int) -> np.ndarray:
     """Words of n that the edges at these places cover."""
     step = np.zeros(n + 1, np.int64)
-    first = places >> 8 & _FIRST
+    first = places >> 8
     np.add.at(step, first, 1)
     np.add.at(step, np.minimum(first + (places & 255) - 1 + window, n), -1)
     return np.cumsum(step[:n]) > 0
 
 
-def _removed(docs: DataFrame, window: int, kmer: int, id_column: str, text_column: str, untouched: bool) -> DataFrame:
+def _removed(docs: DataFrame, window: int, kmer: int, text_column: str, untouched: bool) -> DataFrame:
     """row (the input's, in one struct), text, n_words, n_removed."""
     if not kmer <= window <= kmer + 200:
         raise ValueError("a path's edges must fit its place")
-    marks = _places(repeated(docs, window, kmer, id_column, text_column))
-    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_column)).alias("row")
-    joined = _keyed(docs, id_column, text_column, rest).join(marks, KEY, "left").select("row", "__text", "__places")
+    texts = _texts(docs, text_column)
+    joined = texts.join(_places(repeated(texts, window, kmer)), KEY, "left").select("row", "__text", "__places")
     schema = StructType([joined.schema["row"], StructField("text", StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType())])
     arrow = to_arrow_schema(schema)
 
@@ -281,7 +306,7 @@ def _removed(docs: DataFrame, window: int, kmer: int, id_column: str, text_colum
                 texts, words_, removed = [], [], []
                 for text, places in zip(part.column(1).to_pylist(), part.column(2), strict=True):
                     t = Text(text)
-                    gone = covered(t.n, t.own(places.values.to_numpy()), window) if places.is_valid else np.zeros(t.n, bool)
+                    gone = covered(t.n, places.values.to_numpy(), window) if places.is_valid else np.zeros(t.n, bool)
                     if not untouched or gone.any():
                         text = b" ".join(itertools.compress(t.words, (~gone).tolist())).decode()
                     texts.append(text)
@@ -297,10 +322,10 @@ def _removed(docs: DataFrame, window: int, kmer: int, id_column: str, text_colum
 def deduplicate(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id, n_words, n_removed and, as text, the kept words joined by one space, of every row."""
     rows = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").alias("text"))
-    return _removed(rows, window, kmer, "id", "text", False).select(F.col("row.id").alias(id_column), "n_words", "n_removed", "text")
+    return _removed(rows, window, kmer, "text", False).select(F.col("row.id").alias(id_column), "n_words", "n_removed", "text")
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, text_column: str = "text") -> DataFrame:
     """The rows of docs; texts of which nothing is removed stay as they are, with white space or null."""
-    rows = _removed(docs, window, kmer, id_column, text_column, True)
+    rows = _removed(docs, window, kmer, text_column, True)
     return rows.select(*(F.col("text").alias(c) if c == text_column else F.col(f"row.`{c}`") for c in docs.columns))

@@ -52,12 +52,12 @@ def test_languages(docs):
     assert {r.lang_pred for r in language.identify(docs).collect()} == {"und"}
 
 
-def test_rows_of_one_key_are_told_apart(spark, monkeypatch):
-    """Two texts whose keys collide don't share places."""
-    from pyspark.sql import functions as F
-
-    monkeypatch.setattr(substrings, "_keyed", lambda df, _, t, *more: df.select(F.lit(7).cast("long").alias(substrings.KEY), F.col(t).alias("__text"), *more))
-    texts = ["a b c d e f g", "x a b c d e y", "p q r s t u v w"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: (r.n_words, r.n_removed, r.text) for r in substrings.deduplicate(df, 5, 3).collect()}
-    assert got == dict(enumerate(brute_removal(texts, 5)))
+def test_windows_whose_hashes_collide_are_kept(spark, monkeypatch):
+    """Words of one hash make equal minimizers, but no equal window."""
+    from pagelake.session import ROOT  # noqa: F401 - the workers import the patched package by path
+
+    texts = ["a b c d e f g", "x a b c d e y", "p q r s t u v w", "a b c d e f h"]
+    monkeypatch.setattr(substrings, "_WORDS", type("Same", (dict,), {"__missing__": lambda self, word: 5})())
+    made = [substrings.paths(substrings.Text(t), 5, 3) for t in texts]
+    assert len({int(x) for deal, *_ in made for x in deal}) == 1
+    assert len({tuple(x) for _, content, *_ in made for x in content.tolist()}) == len({tuple(t.split()[f : f + c + 4]) for t, (_, _, first, count) in zip(texts, made, strict=True) for f, c in zip(first.tolist(), count.tolist(), strict=True)})
