@@ -100,11 +100,14 @@ def chain_roots(versions: DataFrame, rounds: int = 40) -> DataFrame:
     versions: version, parent (null for roots). rounds bounds a chain at 2 ** rounds versions."""
     from pagelake.session import staged
 
-    now = staged(versions.select("version", F.coalesce("parent", "version").alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")), "chains")
+    first = F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long")
+    now = staged(versions.select("version", F.coalesce("parent", "version").alias("root"), first.alias("depth")), "chains")
     for _ in range(rounds):
         up = now.select(F.col("version").alias("root"), F.col("root").alias("above"), F.col("depth").alias("more"))
-        next_ = staged(now.join(up, "root", "left").select("version", F.coalesce("above", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "chains")
-        if not next_.join(now, "version").where(next_["root"] != now["root"]).limit(1).count():
-            return next_
-        now = next_
+        moved = F.coalesce(F.col("above") != F.col("root"), F.lit(False))
+        next_ = now.join(up, "root", "left").select("version", F.coalesce("above", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), moved.alias("moved"))
+        next_ = staged(next_, "chains")
+        now = next_.drop("moved")
+        if not next_.where("moved").limit(1).count():
+            return now
     raise ValueError("a chain of versions has a cycle")

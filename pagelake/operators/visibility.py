@@ -28,7 +28,10 @@ def status_of(code: Column) -> Column:
 
 
 def with_status(tuples: DataFrame, status: DataFrame, column: str, name: str) -> DataFrame:
-    """The status of an xid column. Xids 1 and 2 are always committed; 0 has none; unknown ones run."""
+    """The status of an xid column. Xids 1 and 2 are always committed; 0 has none; unknown ones run.
+
+    The tuples are the left side of a left join, so where one xid has written most of them (a bulk load)
+    adaptive execution splits its partition."""
     s = status.select(F.col("xid").alias("__xid"), F.col("status").alias("__status"))
     out = tuples.join(s, F.col(column) == F.col("__xid"), "left")
     known = F.when(F.col(column).isin(1, 2), "committed").when(F.col(column) == 0, F.lit(None)).otherwise(F.coalesce("__status", F.lit("in_progress")))
