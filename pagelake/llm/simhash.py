@@ -3,7 +3,8 @@
 Fingerprints within DISTANCE = 3 bits differ by at most one bit in one of two 32-bit segments.
 Each distinct fingerprint is indexed under the 32 one-wildcard variants of both segments; an
 equality shuffle on the variant brings candidates together, and their whole distance verifies
-them. A run of equal variants yields a spanning forest of its links, not its pairs: a link
+them. A variant fixes 31 bits, so its run holds one in 2 ** 31 of the distinct fingerprints and the near
+ones; copies of a text, however many, are one fingerprint. A run of equal variants yields a spanning forest of its links, not its pairs: a link
 between two fingerprints of one run is a path of verified links in it.
 
 A text without words (null, empty, white space only) has fingerprint zero and links like any
@@ -26,11 +27,13 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from pagelake.llm.arrow import map_rows, only
 from pagelake.llm.components import components
-from pagelake.session import staged
+from pagelake.session import small, staged
 
 SHINGLE = 3
 SEED = 42
 DISTANCE = 3
+#: Rows to drop (8 bytes each) that are broadcast at most.
+FEW = 400_000
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
@@ -113,16 +116,22 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        keys, values = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        # of a run that goes on over batches the parts are joined once, when it ends
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            keys = np.concatenate([keys, batch.column(0).to_numpy()])
-            values = np.concatenate([values, batch.column(1).to_numpy().view(np.uint64)])
-            cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-            if cut:
+            keys, values = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            if not len(keys):
+                continue
+            cut = int(np.searchsorted(keys, keys[-1]))
+            if held and (cut or held[0][0][0] != keys[-1]):
+                held.append((keys[:cut], values[:cut]))
+                yield from _runs(*(np.concatenate(x) for x in zip(*held, strict=True)), distance)
+                held = []
+            elif cut:
                 yield from _runs(keys[:cut], values[:cut], distance)
-                keys, values = keys[cut:], values[cut:]
-        if len(keys):
-            yield from _runs(keys, values, distance)
+            held.append((keys[cut:], values[cut:]))
+        if held:
+            yield from _runs(*(np.concatenate(x) for x in zip(*held, strict=True)), distance)
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for a, b in run(batches):
@@ -159,6 +168,12 @@ def representatives(docs: DataFrame, id_column: str = "doc_id", text_column: str
     order = F.struct(F.col("key.id").isNull().alias("none"), F.col("key.id").alias("id"), F.col("key.h").alias("h"), "n")
     nodes = staged(told.groupBy("fp").agg(F.min(order).alias("least")), "nodes")
     first = staged(_roots(nodes, distance).groupBy("root").agg(F.min("least").alias("least")).select("least.h", "least.n"), "representatives")
-    once = row.join(first.where("n = 1").select("h"), "h", "left_semi").select("row")
-    again = row.join(first.where("n > 1").select("h"), "h", "left_semi").groupBy("h").agg(F.min("row").alias("row")).select("row")
+    # far fewer rows go than stay, and those that go are named by 8 bytes each
+    losers = told.select("key.h").distinct().join(first.select("h"), "h", "left_anti")
+    gone = staged(losers.unionByName(first.where("n > 1").select("h")), "gone")
+    once = row.join(small(gone, FEW), "h", "left_anti").select("row")
+    many = first.where("n > 1").select("h")
+    if many.limit(1).count() == 0:  # the texts aren't even looked through for them
+        return once.select("row.*")
+    again = row.join(small(many, FEW), "h", "left_semi").groupBy("h", F.col(f"row.`{id_column}`").alias("id")).agg(F.min("row").alias("row")).select("row")
     return once.unionByName(again).select("row.*")

@@ -65,7 +65,9 @@ def test_near_duplicates_on_odd_rows(odd_docs, no_docs):
     assert simhash.near_duplicates(no_docs).collect() == []
 
 
-def test_representatives_drop_no_unique_text(spark, odd_docs, no_docs):
+@pytest.mark.parametrize("few", [simhash.FEW, 0])
+def test_representatives_drop_no_unique_text(spark, odd_docs, no_docs, monkeypatch, few):
+    monkeypatch.setattr(simhash, "FEW", few)
     texts = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(8)]
     rows = [(1, texts[0], 5), (1, texts[1], 6), (2, texts[0], 7), (None, texts[2], 8), (None, texts[2], 8), (None, texts[3], 9), (3, texts[3], 9), (4, texts[4], 1), (4, texts[4], 1), (4, texts[4], 0), (0, texts[1], 2), (None, None, 3), (9, " ", 4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, h long").select("*", *(F.lit(i).alias(c) for i, c in enumerate(("row", "key", "fp", "root", "least", "n"))))
