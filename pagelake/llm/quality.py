@@ -49,29 +49,29 @@ KEEP = 0.5
 def measure(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """The kept columns and, in __m, what the rules look at."""
     df = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__t"))
-    df = df.select(*keep, "__t", F.array_remove(F.split("__t", SPACES), "").alias("__w"), F.expr("filter(split(__t, '\\n'), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]')").alias("__l"))
+    df = df.select(*keep, "__t", F.expr("cast(regexp_count(__t, '[#*$%&|<>]') as bigint)").alias("__s"), F.array_remove(F.split("__t", SPACES), "").alias("__w"), F.expr("filter(split(__t, '\\n'), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]')").alias("__l"))
     # windows sorted by their three words, then place: equal ones are neighbours, whatever lies between them in the text
     sorted_ = """case when size(__w) > 2 then sort_array(arrays_zip(
         slice(__w, 1, size(__w) - 2), slice(__w, 2, size(__w) - 2), slice(__w, 3, size(__w) - 2), sequence(0, size(__w) - 3))) end"""
-    df = df.select(*keep, "__t", "__w", "__l", F.expr(sorted_).alias("__p"))
+    df = df.select(*keep, "__t", "__s", "__w", "__l", F.expr(sorted_).alias("__p"))
 
     def same(j: str) -> str:
         return "(" + " and ".join(f"__p[{j}].`{k}` = x.`{k}`" for k in range(3)) + ")"
 
     twice = f"filter(__p, (x, j) -> (j > 0 and {same('j - 1')}) or (j + 1 < size(__p) and {same('j + 1')}))"
-    df = df.select(*keep, "__t", "__w", "__l", F.expr(f"sort_array(transform({twice}, x -> x.`3`))").alias("__r"))
+    df = df.select(*keep, "__t", "__s", "__w", "__l", F.expr(f"sort_array(transform({twice}, x -> x.`3`))").alias("__r"))
     repeat = "aggregate(transform(__r, (p, j) -> if(j = 0, 3L, least(3L, cast(p - __r[j - 1] as bigint)))), 0L, (a, x) -> a + x)"
     common = ", ".join(f"'{w}'" for w in sorted(set(COMMON)))
     return df.select(*keep, F.struct(
         F.size("__w").cast("long").alias("n_words"),
         F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
-        F.expr("regexp_count(__t, '[#*$%&|<>]')").cast("long").alias("n_symbols"),
+        F.col("__s").alias("n_symbols"),
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
         F.coalesce(F.expr(repeat), F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size("__l").cast("long").alias("n_lines"),
         F.expr("size(filter(__l, l -> l rlike '[.!?\"”»:;…)][\\\\x20\\\\x09-\\\\x0D]*$'))").cast("long").alias("n_closed_lines"),
-        F.expr("size(filter(__w, w -> rtrim('#*$%&|<>', w) = ''))").cast("long").alias("n_bare"),
-        F.expr("size(filter(__w, w -> right(w, 1) in ('#', '*', '$', '%', '&', '|', '<', '>') and rtrim('#*$%&|<>', w) <> ''))").cast("long").alias("n_glued"),
+        F.expr("if(__s = 0, 0, size(filter(__w, w -> rtrim('#*$%&|<>', w) = '')))").cast("long").alias("n_bare"),
+        F.expr("if(__s = 0, 0, size(filter(__w, w -> right(w, 1) in ('#', '*', '$', '%', '&', '|', '<', '>') and rtrim('#*$%&|<>', w) <> '')))").cast("long").alias("n_glued"),
         F.expr("regexp_count(__t, '[0-9]')").cast("long").alias("n_digits"),
         F.expr(f"size(filter(slice(__w, 1, size(__w)), w -> lower(w) in ({common})))").cast("long").alias("n_common"),
     ).alias("__m"))
