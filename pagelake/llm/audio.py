@@ -156,22 +156,50 @@ def _moved(p: np.ndarray) -> np.ndarray:
     return np.hstack([np.ones((len(p), 1), bool), p[:, 1:] != p[:, :-1]])
 
 
-def _spectra(p: np.ndarray, width: int) -> np.ndarray:
+#: Frames up to which single precision counts bits exactly: sums stay under 2 ** 14, and their error under a tenth.
+SINGLE = 512
+
+
+def _spectra(p: np.ndarray, width: int, single: bool) -> np.ndarray:
     """Of each bit as 1 or -1 over time: frequency by recording by bit."""
-    signs = ((p[:, :, None] >> np.arange(32, dtype=np.uint32)) & np.uint32(1)).astype(float) * 2 - 1
+    signs = ((p[:, :, None] >> np.arange(32, dtype=np.uint32)) & np.uint32(1)).astype(np.float32 if single else float) * 2 - 1
     return np.ascontiguousarray(np.fft.rfft(signs, width, axis=1).transpose(1, 0, 2))
 
 
-def align(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of recordings of one length (rows of p) and of another (rows of q): row in p, row in q, shift, size, errors of each pair that matches."""
+class Spectra:
+    """Spectra of the blocks that a task met last, by the block's name and the width."""
+
+    def __init__(self, most: int = 64):
+        self.most, self.known = most, {}
+
+    def of(self, name: object, p: np.ndarray, width: int, single: bool) -> np.ndarray:
+        key = (name, width, single)
+        if key not in self.known:
+            if len(self.known) >= self.most:
+                self.known.clear()
+            self.known[key] = _spectra(p, width, single)
+        return self.known[key]
+
+
+def align(p: np.ndarray, q: np.ndarray, spectra: Spectra | None = None, names: tuple[object, object] = (0, 1)) -> tuple[np.ndarray, ...]:
+    """Of recordings of one length (rows of p) and of another (rows of q): row in p, row in q, shift, size, errors of each pair that matches.
+
+    spectra: keeps those of blocks by names, for the blocks that are met next."""
     m, n = p.shape[1], q.shape[1]
-    sums = np.fft.irfft(_spectra(p, m + n) @ _spectra(q, m + n).conj().transpose(0, 2, 1), m + n, axis=0)
-    shifts = np.arange(1 - n, m)
+    width, single, keep = m + n, min(m, n) <= SINGLE, spectra or Spectra()
+    product = keep.of(names[0], p, width, single) @ keep.of(names[1], q, width, single).conj().transpose(0, 2, 1)
+    sums = np.fft.irfft(product, width, axis=0)
+    # place r holds shift r, or from m on r - width; at m itself the recordings have no frame in common
+    shifts = np.where(np.arange(width) < m, np.arange(width), np.arange(width) - width)
     lows = np.maximum(0, shifts)
     sizes = np.minimum(m, n + shifts) - lows
-    errors = np.rint(16 * sizes[:, None, None] - sums[shifts % (m + n)] / 2).astype(int)
-    k, i, j = np.nonzero(errors <= (ERRORS * 32 * sizes)[:, None, None])
-    shift, low, size, errors = shifts[k], lows[k], sizes[k], errors[k, i, j]
+    # equal bits less differing ones, an even number: at most so large a share differs
+    least = np.where(sizes > 0, 32 * sizes * (1 - 2 * ERRORS) - 1, np.inf).astype(sums.dtype)
+    k, i, j = np.nonzero(sums > least[:, None, None])
+    errors = np.rint(16 * sizes[k] - sums[k, i, j].astype(float) / 2).astype(int)
+    ok = errors <= ERRORS * 32 * sizes[k]
+    k, i, j, errors = k[ok], i[ok], j[ok], errors[ok]
+    shift, low, size = shifts[k], lows[k], sizes[k]
     mp, mq, whole = _moved(p), _moved(q), size == min(m, n)
     cp, cq = (np.hstack([np.zeros((len(x), 1), int), np.cumsum(x, axis=1)]) for x in (mp, mq))
     changes = np.minimum(cp[i, low + size] - cp[i, low], cq[j, low - shift + size] - cq[j, low - shift])
@@ -202,6 +230,7 @@ def _block(ids: pa.Array, prints: pa.Array) -> Iterator[tuple[list, np.ndarray]]
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    spectra = Spectra()
     for batch in batches:
         for row in range(len(batch)):
             left, right = (list(_block(x.field("class_id"), x.field("p"))) for x in (batch.column(0)[row].values, batch.column(1)[row].values))
@@ -210,7 +239,7 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
                     step = max(1, (1 << 16) // (p.shape[1] + q.shape[1]))  # spectra and sums stay small
                     for x in range(0, len(p), step):
                         for y in range(0, len(q), step):
-                            for i, j, *told in zip(*(c.tolist() for c in align(p[x : x + step], q[y : y + step])), strict=True):
+                            for i, j, *told in zip(*(c.tolist() for c in align(p[x : x + step], q[y : y + step], spectra, (("p", ids_a[x], len(p) - x), ("q", ids_b[y], len(q) - y)))), strict=True):
                                 yield ids_a[x + i], ids_b[y + j], *told
 
 
